@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.common import checked_broadcast, counting_label, cut, latest_rows, table
-from lamella.llm import clusters, cutoffs, neighbors, percentiles, textforms, tokens
+from lamella.llm import clusters, cutoffs, leakage, neighbors, percentiles, textforms, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,6 +180,22 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return texts.join(back, "doc_id").select("doc_id", F.char_length("back").cast("long").alias("n_text_chars"), same.alias("same_text"))
 
 
+def leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"), "doc_id", "item_id", "text")
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items that they hold."""
+    return leaked(spark, d)
+
+
+@query()
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each item."""
+    return leakage.item_report(leaked(spark, d), table(spark, d, "eval_items", "item_id"), "doc_id", "item_id")
+
+
 @query()
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every text."""
