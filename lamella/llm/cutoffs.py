@@ -83,4 +83,6 @@ def refine_cutoffs(scores: DataFrame, targets: DataFrame, group: str, score: str
 
 def keep_above(scores: DataFrame, cutoffs: DataFrame, group: str, score: str) -> DataFrame:
     """The rows of ``scores`` at or above their group's cutoff."""
-    return scores.join(checked_broadcast(cutoffs.select(group, "cutoff")), group).where(F.col(score) >= F.col("cutoff")).drop("cutoff")
+    limits = cutoffs.select(F.col(group).alias("_group"), F.col("cutoff").alias("_cutoff"))
+    kept = scores.join(checked_broadcast(limits), F.col(group) == F.col("_group"))
+    return kept.where(F.col(score) >= F.col("_cutoff")).select(*scores.columns)
