@@ -34,7 +34,7 @@ def image_array(height: int, width: int, channels: int, pixels: bytes) -> np.nda
 def extract_plates(images: DataFrame) -> DataFrame:
     """A row for each plate of each readable image: ``filename``, ``extraction_mode``, ``plate_index`` (from 1), ``pixels`` at a fixed size.
 
-    ``images`` is as read by the image source; unreadable ones give no rows (see :func:`unreadable`).
+    ``images`` is as read by the image source; those that are none give no rows (see :func:`unreadable`).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,9 +49,10 @@ def extract_plates(images: DataFrame) -> DataFrame:
     return good.mapInPandas(run, "filename string, extraction_mode string, plate_index int, pixels binary")
 
 
-def unreadable(images: DataFrame) -> DataFrame:
-    """Files that are no images."""
-    return images.where("pixels is null").select("filename")
+def unreadable(images: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Uploaded files that are no images. Empty files are left out by both sources."""
+    good = images.where("pixels is not null").select("path")
+    return uploads.select("path", "filename").join(good, "path", "left_anti").select("filename")
 
 
 def measure_plates(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,19 +53,25 @@ def read_document(spark: SparkSession, path: str, columns: T.StructType | None =
     return (reader.schema(columns) if columns else reader).json(path)
 
 
+def _plain_path(path: Column) -> Column:
+    """A path as the file system has it: one slash behind the scheme, no percent signs for blanks."""
+    path = F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files as they are: path, name, length, content."""
-    files = spark.read.format("binaryFile").load(path)
+    """Uploaded files as they are: path, name, length, content. Empty files are left out by the source."""
+    files = spark.read.format("binaryFile").load(path).withColumn("path", _plain_path(F.col("path")))
     return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", "content")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images: path, name, height, width, number of channels, pixels; files that are no images have null pixels."""
-    img = spark.read.format("image").load(path).select("image.*")
+    """Decoded images: path, name, height, width, number of channels, pixels; files that are no images have null pixels, empty files are left out."""
+    img = spark.read.format("image").load(path).select("image.*").withColumn("path", _plain_path(F.col("origin")))
     broken = F.col("height") <= 0
     return img.select(
-        F.col("origin").alias("path"),
-        F.regexp_extract("origin", r"([^/]+)$", 1).alias("filename"),
+        "path",
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
         *[F.when(~broken, F.col(c)).alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "pixels"))],
     )
 
