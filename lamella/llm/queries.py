@@ -55,7 +55,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Probe pairs whose plates are in the same group."""
-    groups = clusters.cluster(usable_plates(spark, d), "plate_id", "label", PLATE_AXES)
+    groups = clusters.members(usable_plates(spark, d), "plate_id", "label", PLATE_AXES)
     probes = table(spark, d, "plate_probe_pairs", "plate_id_a", "plate_id_b")
     return clusters.same_group_pairs(groups, probes, "plate_id", "plate_id_a", "plate_id_b")
 
