@@ -204,17 +204,19 @@ def top_similar(
 
     # A vector copied very often is searched for by its k + 1 smallest ids: no other copy can be among anyone's k best.
     limit = max(HEAVY_COPIES, rows // 10_000)
+    # Only rows with such a vector are tested for being usable here; all others are in unit_rows.
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     hashed = base.select("id", F.xxhash64("v").alias("h"))
     heavy = [r[0] for r in hashed.groupBy("h").count().where(F.col("count") > limit).select("h").collect()]  # at most 10,000
     followers = None
     if heavy:
         from pyspark.sql import Window
 
-        ranked = hashed.where(F.col("h").isin(heavy)).distinct()
-        ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("h").orderBy("id")))
+        copied = base.where(F.xxhash64("v").isin(heavy) & usable).select("id", F.xxhash64("v").alias("h")).distinct()
+        ranked = copied.withColumn("pos", F.row_number().over(Window.partitionBy("h").orderBy("id")))
         leaders = ranked.where(F.col("pos") <= k + 1)
         kept = [r[0] for r in leaders.select("id").collect()]  # at most 10,000 x (k + 1)
-        followers = hashed.where(F.col("h").isin(heavy) & ~F.col("id").isin(kept)).distinct()
+        followers = copied.where(~F.col("id").isin(kept))
         base = base.where(~F.xxhash64("v").isin(heavy) | F.col("id").isin(kept))
 
     # Pivots come from a bounded sample that is chosen by a hash of the id.

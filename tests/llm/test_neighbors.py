@@ -78,6 +78,18 @@ def test_a_third_of_all_vectors_equal(spark, monkeypatch):
     assert found(spark, frame(spark, x)) == truth(x)
 
 
+@pytest.mark.parametrize("with_copies", [False, True])
+def test_many_unusable_vectors_that_are_equal(spark, monkeypatch, with_copies):
+    monkeypatch.setattr(neighbors, "HEAVY_COPIES", 20)
+    x = clumps(10, 9)
+    if with_copies:
+        x = np.vstack([x, np.tile(np.random.default_rng(1).normal(size=16), (40, 1))])
+    bad = [[0.0] * 16, [-0.0] * 16, [math.nan] * 16, [1.0] * 15 + [math.nan], [math.inf] + [0.0] * 15, [-math.inf] + [0.0] * 15]
+    df = frame(spark, [*x, *(v for v in bad for _ in range(40))])
+    gaps = spark.range(1_000, 1_040).selectExpr("id as row", "transform(sequence(1, 16), i -> if(i = 3, null, cast(i as float))) as v", "1 as rank", "'x' as neighbor")
+    assert found(spark, df.unionByName(gaps)) == truth(x)
+
+
 def test_large_blocks_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "TILE_ROWS", 60)
     x = clumps(25, 9)
