@@ -178,7 +178,7 @@ def q61_minmax(spark: SparkSession, d: str) -> DataFrame:
 
 def _reference_model(spark: SparkSession, d: str) -> tuple[M.ReferenceModel, DataFrame, list[str]]:
     """A model of the vectors with label 0, and all vectors with a column for each component used."""
-    columns = [f"e{i}" for i in range(18)]
+    columns = [f"e{i}" for i in range(64)]
     e = table(spark, d, "embeddings", "vec_id", "label", "embedding")
     wide = e.select(F.col("vec_id").cast("string").alias("plate_id"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
     return M.ReferenceModel.fit(wide.where("label = 0"), "plate_id", columns), wide, columns

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.model import reference as M
 from lamella.operators import ledger, pairing, store, vectors
+from lamella.plans import aggregates
 from tests.conftest import rows
 
 
@@ -122,3 +123,16 @@ def test_store(spark):
     assert store.detail(latest, "exam_id", "zz").count() == 0
     plan = store.detail(spark.table("exams_t"), "exam_id", "a").select("plates_detected")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(exam_id,a)" in plan and "result_json" not in plan
+
+
+def test_reference_queries_use_all_components(spark, tmp_path):
+    """Vectors that differ only in the last components: these explain the variance and rank the odd one out highest."""
+    rng = np.random.default_rng(3)
+    x = np.hstack([np.full((40, 40), 0.1), rng.normal(size=(40, 24))])
+    x[-1, 40:] += 50
+    rows_in = [(i, int(i == 39), [float(v) for v in row]) for i, row in enumerate(x)]
+    spark.createDataFrame(rows_in, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    explained = [r["explained"] for r in aggregates.q62_pca_scores(spark, str(tmp_path)).collect()]
+    assert len(explained) == 8 and min(explained) > 0.01
+    score = {r["plate_id"]: r["reference_anomaly_percentile"] for r in aggregates.q63_iforest_percentile(spark, str(tmp_path)).collect()}
+    assert len(score) == 40 and score["39"] == 1.0 and min(score.values()) < 0.1
