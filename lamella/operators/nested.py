@@ -1,8 +1,9 @@
 """Flat tables from deeply nested documents, by interval labels.
 
-A document is walked depth first. Every node gets a pre-order number when the walk enters it and a post-order number when it
-leaves, so a node lies within another exactly if its pre-order number is greater and its post-order number smaller. Each kind of
-node becomes a table; a row's parent in another table is the row of the same document whose interval is the narrowest that contains its own.
+A document is walked depth first. Every node (object, array or scalar, of interest or not) gets a pre-order number when the walk enters
+it and a post-order number when it leaves, so a node lies within another exactly if its pre-order number is greater and its post-order
+number smaller. Each kind of node becomes a table; a row's parent in another table is the row of the same document whose interval is the
+narrowest that contains its own. Members keep the order in which they are written.
 
 Documents are independent: one pass without a shuffle after the latest row of each document is known, and a large document
 costs its own size.
@@ -61,30 +62,17 @@ def parse(text: str) -> object:
 
 
 def unwrapped(value: object) -> object:
-    """A text that holds a JSON object or array stands for it, also if it does so several times over."""
-    while isinstance(value, str) and not isinstance(value, Number):
-        if value.lstrip(" \t\r\n")[:1] not in ('{', '[', '"'):
-            return value
-        try:
-            inner = parse(value)
-        except ValueError:
-            return value
-        if not isinstance(inner, (dict, list)) and not (isinstance(inner, str) and not isinstance(inner, Number) and _holds(inner)):
-            return value
-        value = inner
-    return value
-
-
-def _holds(text: str) -> bool:
-    return isinstance(unwrapped(text), (dict, list))
-
-
-def elements(value: object) -> list:
-    """The elements of an array; a single object or plain text in place of an array is an array of one, anything else has none."""
-    value = unwrapped(value)
-    if isinstance(value, list):
+    """A text that holds a JSON object or array stands for it. A text that holds a text is a text, whatever that one holds."""
+    if not isinstance(value, str) or isinstance(value, Number) or value.lstrip(" \t\r\n")[:1] not in ("{", "["):
+        return value
+    try:
+        return parse(value)
+    except ValueError:
         return value
-    return [value] if isinstance(value, dict) or (isinstance(value, str) and not isinstance(value, Number)) else []
+
+
+def is_text(value: object) -> bool:
+    return isinstance(value, str) and not isinstance(value, Number)
 
 
 def named(value: object) -> str:
@@ -98,9 +86,21 @@ def named(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def _places(kinds: tuple[Kind, ...], parent: str | None) -> dict:
+    """Where the kinds below a kind are: nested member names that end at a kind."""
+    out: dict = {}
+    for kind in kinds:
+        if kind.parent == parent:
+            at = out
+            for name in kind.path[:-1]:
+                at = at.setdefault(name, {})
+            at[kind.path[-1]] = kind
+    return out
+
+
 @dataclass
 class Walk:
-    """The labelled nodes of one document, by kind: pre-order, post-order, position in the array as stored, key."""
+    """The labels of one document: of each kind's nodes pre-order, post-order, position in the array as stored, key. All nodes are numbered."""
 
     kinds: tuple[Kind, ...]
     nodes: dict[str, list[tuple[int, int, int, str]]] = field(default_factory=dict)
@@ -109,33 +109,64 @@ class Walk:
 
     def run(self, document: dict) -> Walk:
         self.nodes = {k.name: [] for k in self.kinds}
-        self._within(document, None)
+        self.places = {parent: _places(self.kinds, parent) for parent in (None, *self.nodes)}
+        self._object(document, self.places[None])
         return self
 
-    def _within(self, node: dict, parent: str | None) -> None:
-        for kind in self.kinds:
-            if kind.parent != parent:
-                continue
-            value: object = node
-            for name in kind.path[:-1]:
-                value = unwrapped(value.get(name)) if isinstance(value, dict) else None
-            if not isinstance(value, dict):
-                continue
-            for i, element in enumerate(elements(value.get(kind.path[-1]))):
-                element = unwrapped(element)
-                if kind.text:
-                    if not isinstance(element, str) or isinstance(element, Number):
-                        continue
-                elif not isinstance(element, dict):
-                    continue
-                at = len(self.nodes[kind.name])
-                pre, self.pre = self.pre, self.pre + 1
-                self.nodes[kind.name].append((pre, -1, i, element if kind.text else named(element.get(kind.key))))
-                if not kind.text:
-                    self._within(element, kind.name)
-                _, _, i, key = self.nodes[kind.name][at]
-                self.nodes[kind.name][at] = (pre, self.post, i, key)
-                self.post += 1
+    def _object(self, node: dict, places: dict) -> None:
+        self.pre += 1
+        for name, value in node.items():
+            place = places.get(name)
+            if place is None:
+                self._other(value)
+            elif isinstance(place, Kind):
+                self._array(unwrapped(value), place)
+            else:
+                value = unwrapped(value)
+                if isinstance(value, dict):
+                    self._object(value, place)
+                else:
+                    self._other(value)
+        self.post += 1
+
+    def _array(self, value: object, kind: Kind) -> None:
+        """An array of a kind; a single object or plain text in place of it is an array of one, anything else has no elements."""
+        if isinstance(value, list):
+            self.pre += 1
+            for i, element in enumerate(value):
+                self._element(i, unwrapped(element), kind)
+            self.post += 1
+        elif isinstance(value, dict) or is_text(value):
+            self._element(0, value, kind)
+        else:
+            self._other(value)
+
+    def _element(self, i: int, value: object, kind: Kind) -> None:
+        if not (is_text(value) if kind.text else isinstance(value, dict)):
+            self._other(value)  # it keeps its place
+            return
+        rows, at, pre = self.nodes[kind.name], len(self.nodes[kind.name]), self.pre
+        rows.append((pre, -1, i, ""))
+        if kind.text:
+            self._other(value)
+            key = value
+        else:
+            self._object(value, self.places[kind.name])
+            key = named(value.get(kind.key))
+        rows[at] = (pre, self.post - 1, i, key)
+
+    def _other(self, value: object) -> None:
+        """Number a node and all below it, none of which is of a kind."""
+        n, stack = 0, [value]
+        while stack:
+            value = stack.pop()
+            n += 1
+            if isinstance(value, dict):
+                stack.extend(value.values())
+            elif isinstance(value, list):
+                stack.extend(value)
+        self.pre += n
+        self.post += n
 
 
 def container(pre: np.ndarray, post: np.ndarray, outer_pre: np.ndarray, outer_post: np.ndarray) -> np.ndarray:

@@ -16,16 +16,12 @@ def by_paths(text):
         return json.loads(s, parse_float=nested.Number, parse_int=nested.Number, parse_constant=nested._refuse)
 
     def stands_for(v):
-        while type(v) is str:
+        if type(v) is str:
             try:
                 w = load(v)
             except ValueError:
                 return v
-            if isinstance(w, (dict, list)):
-                return w
-            if type(w) is not str or not isinstance(stands_for(w), (dict, list)):
-                return v
-            v = w
+            return w if isinstance(w, (dict, list)) else v
         return v
 
     def array(v):
@@ -88,6 +84,9 @@ CASES = [
     '{"sources": {"source_image": "a", "plates": {"plate_id": 7, "qc": {"flags": "LOW"}, "nearest_reference_plates": "none"}}}',
     json.dumps({"sources": json.dumps([{"plates": json.dumps({"plate_id": None, "qc": json.dumps({"flags": ["A", None, 2, "B", ["C"], '{"a":1}']})})}])}),
     json.dumps(json.dumps({"bilateral_analysis": [1, {"bilateral_pair_id": "p"}, {"bilateral_pair_id": True}, {}]})),
+    # a text that holds a text that holds a list is a text: no neighbours, but a flag
+    json.dumps({"sources": [{"plates": [{"nearest_reference_plates": json.dumps(json.dumps([{"plate_id": "q"}])), "qc": {"flags": json.dumps(json.dumps(["A"]))}}]}]}),
+    json.dumps(json.dumps(json.dumps({"sources": [{}]}))),
     json.dumps({"sources": [{"source_image": "x" * 50_000, "plates": [{"plate_id": i} for i in range(3_000)]}]}),
 ]
 
@@ -144,6 +143,16 @@ def test_intervals_nest(value):
                 assert around == [p]
 
 
+def test_every_node_is_labelled():
+    text = '{"a": {"b": [1, {"c": null}]}, "sources": [7, {"note": [[]], "source_image": "s", "plates": {"qc": {"x": 1, "flags": ["f"]}}}, {}], "z": 0}'
+    t = nested.node_tables(text)
+    # the document is 0; a, b, 1, {c}, null are 1 to 5; sources is 6, its first element 7
+    assert t["source"]["pre"].tolist() == [8, 17] and t["source"]["index"].tolist() == [1, 2]
+    assert t["plate"]["pre"].tolist() == [12] and t["flag"]["pre"].tolist() == [16]
+    # nodes are left in the order null, {c} ... so that all 19 nodes have a number
+    assert t["flag"]["post"].tolist() == [10] and t["plate"]["post"].tolist() == [13] and t["source"]["post"].tolist() == [14, 15]
+
+
 def test_latest_document(spark):
     data = [
         ("a", "2024-01-01T10:00:00+02:00", "old"),
