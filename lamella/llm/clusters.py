@@ -2,21 +2,27 @@
 
 Records are points: a category and some numbers, each on its own scale (plain, by ratio, or on a circle).
 
-1. *Leaves.* Points of a category that share a cell of the grid of scales are the first clusters; they are closer to each other
-   than the scale on which similarity is judged. Cells are counted with map-side combination, so a category or a crowd of any
-   size costs one row for each cell and partition, and the number of cells has a bound that does not depend on the number of
-   points: the product of the axes' cells (axes without an end are clamped).
-2. *Sparse graph.* Cells that touch are linked; the similarity of a link falls with the distance between the cells' means. Cells
-   in nearly empty space (with their neighbourhood holding less than a small share of the category) are not linked.
-3. *Rounds.* In each round every cluster finds its most similar neighbour, all mutual best pairs merge in parallel, and links
-   between the merged clusters become one, its similarity the average over the pairs of points that the links stand for. This stops when
-   no link reaches the threshold. Rounds run in one task for each category, over its cells: at most the bound above, whatever the data.
-4. Clusters below a share of their category are no groups. Points get the group of their cell, or of the nearest linked cell that
-   touches theirs if their own is nearly empty.
+1. *Nodes.* Points of a category that share a cell of the grid of scales are the first clusters: they are several times closer to each
+   other than the distance at which similarity ends. Cells are aggregated with map-side combination to a count, means and variances, so a
+   category or a crowd of any size costs one row for each cell and partition. For axes between two bounds, by ratio (a double spans 1,420
+   powers of e) or on a circle the number of cells has a bound that does not depend on the number of points.
+2. *Background.* A crowd is set apart by nearly empty space. The density of that space is estimated by clipping: the points of a category
+   over the cells of its space, again without the cells that are too full for that density to be chance, until nothing changes. Cells whose
+   neighbourhood chance could have filled are not linked. No share of the category decides: five records in empty space are a crowd
+   beside millions elsewhere.
+3. *Sparse graph.* Nodes up to ``STEPS`` cells apart in each axis are linked.
+4. *Rounds.* The similarity of two points is 1 less their squared distance over the squared ``REACH``; that of two clusters is the mean over
+   all pairs of their points, which follows exactly from the clusters' means and variances. In each round every cluster
+   finds its most similar linked neighbour, all mutual best pairs merge in parallel, and links between the merged clusters become one. This
+   stops when no link reaches the threshold: two crowds joined by a thin bridge stay two, as their points are unlike on average. Rounds run in
+   one task for each category, over its cells.
+5. A group has at least ``LEAST_GROUP`` points, more than chance puts into its cells. Points get the group of their cell, or of the
+   nearest linked cell that touches theirs if their own is nearly empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -25,31 +31,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.common import checked_broadcast, cut
+from lamella.common import BROADCAST_ROWS, checked_broadcast, cut, heavy_keys, salted_join
 
-#: Links below this similarity are not merged. 1 is the same place, 0 a distance of ``REACH`` scales.
-THRESHOLD = 0.15
-REACH = 4.0
-#: A cell is linked if its neighbourhood holds this share of its category, and at least ``LEAST`` points.
-DENSE_SHARE = 0.0005
+#: Clusters are merged down to this similarity. 1 is the same place, 0 a root mean square distance of ``REACH`` scales.
+THRESHOLD = 0.4
+REACH = 8.0
+#: Cells that are linked lie at most so many cells apart in each axis.
+STEPS = 2
+#: A linked cell has so many points in its neighbourhood, and the odds that chance put them there at the background's density are below exp(-CELL_ODDS).
 LEAST = 3
-#: A group holds this share of its category, and at least ``LEAST_GROUP`` points.
-GROUP_SHARE = 0.005
+CELL_ODDS = 7.0
+#: A group has so many points, and the odds that chance made it anywhere in the category's space are below exp(-GROUP_ODDS).
 LEAST_GROUP = 5
+GROUP_ODDS = 4.6
+#: Clipping of the background ends at the latest after so many rounds; it shrinks in each.
+CLIPS = 50
 TYPICAL = 3
 
 
 @dataclass(frozen=True)
 class Axis:
-    """A number of a record. ``scale``: a distance that counts as one. ``kind``: plain, ratio or circle (of ``length``).
-
-    Cells run from 0 to ``cells`` - 1; beyond the last cell values are clamped to it.
-    """
+    """A number of a record. ``scale``: a distance that counts as one. ``kind``: plain, ratio or circle (of ``length``)."""
 
     column: str
     scale: float
     kind: str = "plain"
-    cells: int = 100
     length: float = 0.0
 
     def value(self) -> Column:
@@ -57,115 +63,186 @@ class Axis:
         return F.log(c) if self.kind == "ratio" else c
 
     def count(self) -> int:
-        return int(round(self.length / self.scale)) if self.kind == "circle" else self.cells
+        """Cells of a circle; 0 for axes that do not close."""
+        return int(round(self.length / self.scale)) if self.kind == "circle" else 0
 
     def cell(self, value: Column) -> Column:
-        return F.least(F.lit(self.count() - 1), F.greatest(F.lit(0), F.floor(value / self.scale))).cast("int")
+        cell = F.floor(value / self.scale)
+        return F.least(F.lit(self.count() - 1), F.greatest(F.lit(0), cell)).cast("long") if self.kind == "circle" else cell.cast("long")
+
+    def places(self, value: Column) -> list[Column]:
+        """Coordinates in scales in which distances are straight: a circle has two, on which near points are as far apart as along it."""
+        if self.kind != "circle":
+            return [value / self.scale]
+        turn, radius = value * (2 * np.pi / self.length), self.length / self.scale / (2 * np.pi)
+        return [F.cos(turn) * radius, F.sin(turn) * radius]
 
 
-def merge_rounds(n: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, threshold: float) -> np.ndarray:
-    """Average linkage on a sparse graph: cluster number of each node.
+def merge_rounds(n: np.ndarray, mean: np.ndarray, spread: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, reach: float = REACH) -> np.ndarray:
+    """Average linkage on a sparse graph: cluster number of each node, the smallest of its nodes.
 
-    ``n`` counts the points of the nodes; links ``a``-``b`` (a < b, no doubles) have similarity ``s``. Each round merges all
-    mutual best pairs; among equally similar neighbours the one with the smaller number is the best.
+    Nodes hold ``n`` points with a ``mean`` place and a ``spread`` (mean squared distance from it); ``a``-``b`` (a < b, no doubles) are linked.
+    Each round merges all mutual best pairs; among equally similar neighbours the one with the smaller number is the best.
     """
     size = len(n)
     label = np.arange(size)
-    weight = n[a].astype(np.float64) * n[b]
-    total = s * weight
+    n, mean, spread = n.astype(np.float64), mean.astype(np.float64).copy(), spread.astype(np.float64).copy()
+    similarity = lambda i, j: 1 - (((mean[i] - mean[j]) ** 2).sum(1) + spread[i] + spread[j]) / reach**2
+    s = similarity(a, b)
     while len(a):
-        mean = total / weight
-        ok = mean >= threshold
+        ok = s >= threshold  # clusters that are unlike now may become alike when one of them grows
         if not ok.any():
             break
-        u, v, m = np.concatenate([a[ok], b[ok]]), np.concatenate([b[ok], a[ok]]), np.tile(mean[ok], 2)
+        u, v, m = np.concatenate([a[ok], b[ok]]), np.concatenate([b[ok], a[ok]]), np.tile(s[ok], 2)
         order = np.lexsort((v, -m, u))
         u, v = u[order], v[order]
         first = np.r_[True, u[1:] != u[:-1]]
         best = np.full(size, -1)
         best[u[first]] = v[first]
-        mutual = np.flatnonzero((best >= 0) & (best[best] == np.arange(size)))
+        left = np.flatnonzero((best >= 0) & (best[best] == np.arange(size)))
+        left = left[left < best[left]]
+        right = best[left]
+        share = n[right] / (n[left] + n[right])
+        step = mean[right] - mean[left]
+        spread[left] += share * (spread[right] - spread[left]) + share * (1 - share) * (step * step).sum(1)
+        mean[left] += share[:, None] * step
+        n[left] += n[right]
         target = np.arange(size)
-        target[mutual] = np.minimum(mutual, best[mutual])
+        target[right] = left
         label = target[label]
         a, b = target[a], target[b]
         a, b = np.minimum(a, b), np.maximum(a, b)
-        other = a != b
-        key = a[other] * size + b[other]
-        unique, at = np.unique(key, return_inverse=True)
-        weight, total = np.bincount(at, weight[other], len(unique)), np.bincount(at, total[other], len(unique))
-        a, b = unique // size, unique % size
+        key = np.unique(a[a != b] * size + b[a != b])
+        a, b = key // size, key % size
+        s = similarity(a, b)
     return label
 
 
-def link_cells(cells: pd.DataFrame, axes: tuple[Axis, ...], threshold: float) -> pd.DataFrame:
-    """Groups of one category's cells: cell columns ``c0``.., ``g`` (a number within the category).
+def surprise(count: np.ndarray, expected: np.ndarray | float) -> np.ndarray:
+    """A lower bound of the negative logarithm of the odds that chance puts ``count`` or more points where ``expected`` are (Chernoff)."""
+    count, expected = np.broadcast_arrays(np.asarray(count, np.float64), np.asarray(expected, np.float64))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = count * np.log(count / expected) - count + expected
+    return np.where(count <= expected, 0.0, np.where(expected <= 0, np.inf, out))
 
-    ``cells`` has ``c0``.., the count ``n`` and the means ``m0``.. in scales. Cells without a group are left out.
-    """
-    counts = [axis.count() for axis in axes]
-    at = cells[[f"c{i}" for i in range(len(axes))]].to_numpy(np.int64)
-    mean = cells[[f"m{i}" for i in range(len(axes))]].to_numpy(np.float64)
-    n = cells["n"].to_numpy(np.int64)
-    place = lambda x: np.ravel_multi_index(tuple(x.T), counts)
-    own = place(at)
-    order = np.argsort(own)
-    own, at, mean, n = own[order], at[order], mean[order], n[order]
-
-    def neighbours():
-        """For each direction: indexes of cells and of their neighbours in it."""
-        for step in product((-1, 0, 1), repeat=len(axes)):
+
+class Cells:
+    """The occupied cells of a category, and which of them are near each other."""
+
+    def __init__(self, at: np.ndarray, axes: tuple[Axis, ...]):
+        self.at, self.axes = at, axes
+        self.values = [np.unique(at[:, i]) for i in range(len(axes))]
+        self.own = self._key(at)[0]
+        assert (np.diff(self.own) > 0).all(), "cells are sorted"
+
+    def _key(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number of each place, in the places' order, and whether every coordinate occurs."""
+        key, known = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for i, values in enumerate(self.values):
+            k = np.minimum(np.searchsorted(values, at[:, i]), len(values) - 1)
+            known &= values[k] == at[:, i]
+            key = key * len(values) + k
+        return key, known
+
+    def moved(self, index: np.ndarray, step: tuple[int, ...]) -> np.ndarray:
+        to = self.at[index] + np.array(step)
+        for i, axis in enumerate(self.axes):
+            if axis.kind == "circle":
+                to[:, i] %= axis.count()
+        return to
+
+    def pairs(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indexes of cells and of occupied ones up to ``steps`` away, for each direction; on a small circle a pair may come twice."""
+        every = np.arange(len(self.at))
+        for step in product(range(-steps, steps + 1), repeat=len(self.axes)):
             if any(step):
-                to, inside = at + np.array(step), np.ones(len(at), bool)
-                for i, axis in enumerate(axes):
-                    if axis.kind == "circle":
-                        to[:, i] %= counts[i]
-                    else:
-                        inside &= (to[:, i] >= 0) & (to[:, i] < counts[i])
-                source = np.flatnonzero(inside)
-                key = place(to[source])
-                found = np.minimum(np.searchsorted(own, key), len(own) - 1)
-                hit = own[found] == key
-                yield source[hit], found[hit]
-
-    around, pairs = n.copy(), []
-    for i, j in neighbours():
+                key, known = self._key(self.moved(every, step))
+                found = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+                hit = known & (self.own[found] == key) & (found != every)
+                yield every[hit], found[hit]
+
+    def touched(self, index: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """For each mark 0, 1 ... the number of cells, occupied or not, that its cells (``index``) are or touch."""
+        around = [np.column_stack([mark, self.moved(index, step)]) for step in product((-1, 0, 1), repeat=len(self.axes))]
+        out = np.zeros(int(mark.max(initial=-1)) + 1, np.int64)
+        if len(index):
+            np.add.at(out, np.unique(np.concatenate(around), axis=0)[:, 0], 1)
+        return out
+
+    def volume(self) -> float:
+        """Cells of the category's space: along each axis those that occur and those beside them."""
+        out = 1.0
+        for axis, values in zip(self.axes, self.values):
+            beside = np.unique(np.concatenate([values - 1, values, values + 1]))
+            out *= min(len(beside), axis.count()) if axis.kind == "circle" else len(beside)
+        return out
+
+
+def crowded(cells: Cells, n: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Which cells hold, alone or with their neighbourhood (``near``), more points than chance would put there; and the background's points for each cell."""
+    around = n.astype(np.int64).copy()
+    for i, j in near:
         np.add.at(around, i, n[j])
-        pairs.append((i, j))
-    dense = around >= max(LEAST, DENSE_SHARE * n.sum())
-    a = np.concatenate([i for i, _ in pairs]) if pairs else np.zeros(0, np.int64)
-    b = np.concatenate([j for _, j in pairs]) if pairs else np.zeros(0, np.int64)
-
-    def distance(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        d = np.abs(mean[i] - mean[j])
-        for k, axis in enumerate(axes):
-            if axis.kind == "circle":
-                d[:, k] = np.minimum(d[:, k], axis.length / axis.scale - d[:, k])
-        return np.sqrt((d * d).sum(1))
-
-    # a direction and its opposite give the same link; a circle of two cells gives one twice
-    link = np.unique(np.minimum(a, b)[(a != b) & dense[a] & dense[b]] * len(n) + np.maximum(a, b)[(a != b) & dense[a] & dense[b]])
-    i, j = link // max(1, len(n)), link % max(1, len(n))
-    label = merge_rounds(n, i, j, np.maximum(0.0, 1 - distance(i, j) / REACH), threshold)
-    size = np.bincount(label[dense], n[dense], len(n))
-    good = size >= max(LEAST_GROUP, GROUP_SHARE * n.sum())
-    group = np.where(dense & good[label], label, -1)
+    block, space, total = 3 ** len(cells.axes), cells.volume(), int(n.sum())
+    elsewhere = (total - around) / max(space - block, 1.0)  # a lone crowd is no background of its own
+    density, dense = total / space, np.zeros(len(n), bool)
+    for _ in range(CLIPS):
+        chance = np.minimum(density, elsewhere)
+        odds = np.maximum(surprise(around, block * chance), np.where(n >= LEAST, surprise(n, chance), 0.0))
+        now = dense | ((around >= LEAST) & (odds >= CELL_ODDS))
+        if (now == dense).all():
+            break
+        dense = now
+        taken = dense.copy()
+        for i, j in near:
+            taken[i[dense[j]]] = True
+        left = space - cells.touched(np.flatnonzero(dense), np.zeros(int(dense.sum()), np.int64)).sum()
+        density = min(density, n[~taken].sum() / max(left, 1.0))
+    return dense, density
+
+
+def link_cells(cells: pd.DataFrame, axes: tuple[Axis, ...], threshold: float, linkage=merge_rounds) -> pd.DataFrame:
+    """Groups of one category's cells: cell columns ``c0``.., ``g`` (a number within the category).
+
+    ``cells`` has ``c0``.., the count ``n``, and in straight coordinates the means ``m0``.. and ``v``, the sum of their variances. Cells
+    without a group are left out.
+    """
+    names = [f"c{i}" for i in range(len(axes))]
+    cells = cells.sort_values(names)
+    at = cells[names].to_numpy(np.int64)
+    mean = cells[[c for c in cells.columns if c.startswith("m")]].to_numpy(np.float64)
+    n, spread = cells["n"].to_numpy(np.int64), cells["v"].to_numpy(np.float64)
+    grid = Cells(at, axes)
+    near = list(grid.pairs(1))
+    dense, density = crowded(grid, n, near)
+    links = [np.zeros(0, np.int64)]
+    for i, j in grid.pairs(STEPS):
+        keep = (i < j) & dense[i] & dense[j]
+        links.append(i[keep] * len(n) + j[keep])
+    link = np.unique(np.concatenate(links))
+    label = linkage(n, mean, spread, link // len(n), link % len(n), threshold)
+    own = np.flatnonzero(dense)
+    _, mark = np.unique(label[own], return_inverse=True)
+    size = np.bincount(mark, n[own])
+    odds = surprise(size, density * grid.touched(own, mark))
+    good = (size >= LEAST_GROUP) & (odds >= GROUP_ODDS + np.log(grid.volume()))
+    group = np.full(len(n), -1)
+    group[own] = np.where(good[mark], label[own], -1)
     # nearly empty cells at the rim of a group belong to the nearest cell of it that they touch
-    rim = (group[a] < 0) & (group[b] >= 0)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in near)]) for k in (0, 1))
+    rim = ~dense[a] & (group[b] >= 0)
     ra, rb = a[rim], b[rim]
-    near = np.lexsort((rb, distance(ra, rb), ra))
-    ra, rb = ra[near], rb[near]
+    order = np.lexsort((rb, ((mean[ra] - mean[rb]) ** 2).sum(1), ra))
+    ra, rb = ra[order], rb[order]
     first = np.r_[True, ra[1:] != ra[:-1]] if len(ra) else np.zeros(0, bool)
     group[ra[first]] = group[rb[first]]
-    out = pd.DataFrame(at, columns=[f"c{k}" for k in range(len(axes))]).assign(g=group)
+    out = pd.DataFrame(at, columns=names).assign(g=group)
     return out[out["g"] >= 0]
 
 
 def placed_points(df: DataFrame, id_col: str, category: str, axes: tuple[Axis, ...], threshold: float = THRESHOLD) -> DataFrame:
     """Records in a group: ``_id``, ``_cat``, ``g`` (a number within the category) and the axes' values ``x0``..; the rest has no row."""
     k = range(len(axes))
-    bound = int(np.prod([axis.count() for axis in axes]))
-    assert bound < 5_000_000, "the grid of a category must fit a task"
     usable = F.col(category).isNotNull()
     for axis in axes:
         c = F.col(axis.column)
@@ -175,16 +252,24 @@ def placed_points(df: DataFrame, id_col: str, category: str, axes: tuple[Axis, .
     points = df.where(usable).select(F.col(id_col).alias("_id"), F.col(category).alias("_cat"), *[axis.value().alias(f"x{i}") for i, axis in enumerate(axes)])
     points = points.withColumns({f"c{i}": axis.cell(F.col(f"x{i}")) for i, axis in enumerate(axes)})
     cell_columns = [f"c{i}" for i in k]
-    # means are taken within a cell, where a circle has no seam
-    cells = points.groupBy("_cat", *cell_columns).agg(F.count("*").alias("n"), *[(F.avg(f"x{i}") / axis.scale).alias(f"m{i}") for i, axis in enumerate(axes)])
+    places = [p for i, axis in enumerate(axes) for p in axis.places(F.col(f"x{i}"))]
+    spread = sum((F.var_pop(p) for p in places), F.lit(0.0))
+    cells = points.groupBy("_cat", *cell_columns).agg(F.count("*").alias("n"), spread.alias("v"), *[F.avg(p).alias(f"m{i}") for i, p in enumerate(places)])
 
     def linked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return link_cells(pdf, axes, threshold).assign(_cat=key[0])[["_cat", *cell_columns, "g"]]
 
-    fields = ", ".join(f"{c} int" for c in cell_columns)
+    fields = ", ".join(f"{c} long" for c in cell_columns)
     kind = df.schema[category].dataType.simpleString()
     groups = cut(cells.groupBy("_cat").applyInPandas(linked, f"_cat {kind}, {fields}, g long"))
-    return points.join(checked_broadcast(groups), ["_cat", *cell_columns]).drop(*cell_columns)
+    keys = ["_cat", *cell_columns]
+    if groups.count() <= BROADCAST_ROWS:
+        joined = points.join(F.broadcast(groups), keys)
+    else:  # a cell may hold a large share of all points
+        cell = F.struct(*keys).alias("_cell")
+        spread_points = points.select("*", cell)
+        joined = salted_join(spread_points, groups.select(cell, "g"), ["_cell"], heavy_keys(spread_points, "_cell"), F.col("_id")).drop("_cell")
+    return joined.drop(*cell_columns)
 
 
 def members(df: DataFrame, id_col: str, category: str, axes: tuple[Axis, ...], threshold: float = THRESHOLD) -> DataFrame:

@@ -17,8 +17,8 @@ DIM = 64
 
 #: Problem 1's scales: an area of 0.03, a ratio of e^0.08 and five units of hue count alike.
 PLATE_AXES = (
-    clusters.Axis("response_area_fraction", 0.03, cells=34),
-    clusters.Axis("largest_elongation", 0.08, "ratio", cells=100),
+    clusters.Axis("response_area_fraction", 0.03),
+    clusters.Axis("largest_elongation", 0.08, "ratio"),
     clusters.Axis("hue_mean", 5.0, "circle", length=180.0),
 )
 
