@@ -325,11 +325,12 @@ def top_similar(
 
     # A direction copied very often (scaled copies included) is searched for by its k + 1 smallest ids: no other copy can be among anyone's k best.
     limit = max(HEAVY_COPIES, rows // 10_000)
-    # Only rows with such a direction are tested for being usable here; all others are in unit_rows.
-    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    steps = F.transform("v", lambda x: F.rint(F.try_divide(x.cast("double"), F.col("largest")) * 32767).cast("int"))
-    hashed = base.where(usable).withColumn("largest", largest).withColumn("h", F.xxhash64(steps)).drop("largest")
+    # A direction is hashed from the components in 32,767ths of the largest, as compiled expressions.
+    high, low = F.array_max("v").cast("double"), F.array_min("v").cast("double")  # NaN is the greatest number
+    largest = F.greatest(high, -low)
+    usable = ~F.exists("v", lambda x: x.isNull()) & (high < float("inf")) & (low > -float("inf")) & (largest > 0)
+    key = F.xxhash64(*[F.rint(F.try_divide(F.get("v", F.lit(i)).cast("double"), largest) * 32767) + 0.0 for i in range(dim)])
+    hashed = base.where(usable).select("id", key.alias("h"))
     heavy = hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("h")
     heavy = spark.createDataFrame(heavy.collect(), "h long")  # at most 10,000
     followers = None
@@ -340,8 +341,7 @@ def top_similar(
         followers = copied.join(F.broadcast(leaders.select("id")), "id", "left_anti")
         base = base.join(F.broadcast(leaders.select("id").withColumn("_led", F.lit(True))), "id", "left")
         many = F.broadcast(heavy.withColumn("_many", F.lit(True)))
-        key = F.xxhash64(F.transform("v", lambda x: F.rint(F.try_divide(x.cast("double"), F.col("largest")) * 32767).cast("int")))
-        base = base.withColumn("largest", F.when(usable, largest)).withColumn("h", key).join(many, "h", "left")
+        base = base.withColumn("h", F.when(usable, key)).join(many, "h", "left")
         base = base.where(F.col("_many").isNull() | F.col("_led")).select("id", "v")
 
     # Pivots come from a bounded sample that is chosen by a hash of the id.
