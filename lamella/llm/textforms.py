@@ -85,21 +85,54 @@ class _Table(dict):
         return out
 
 
+class _Changed(dict):
+    """For each character the text that a form has in its place if that is more than ``simple`` of it, else an empty list.
+
+    A character is None if what stands in its place changes again when looked up: a text with it goes through the table as a whole.
+    """
+
+    def __init__(self, table: _Table, simple):
+        super().__init__()
+        self.table, self.simple = table, simple
+
+    def _kept(self, ch: str) -> bool:
+        return unicodedata.normalize("NFC", self.table[ord(ch)]) == unicodedata.normalize("NFC", self.simple(ch))
+
+    def __missing__(self, ch: str) -> list | None:
+        new = self.table[ord(ch)]
+        self[ch] = out = [] if self._kept(ch) else [(ch, new)] if all(map(self._kept, new)) else None
+        return out
+
+    def applied(self, text: str) -> str:
+        """``text`` with its changed characters replaced, before ``simple``: few texts have more than some of them."""
+        changes = [c for c in map(self.__getitem__, set(text)) if c != []]
+        if None in changes or len(changes) > 12:
+            return text.translate(self.table)
+        for [(ch, new)] in changes:
+            text = text.replace(ch, new)
+        return self.simple(text)
+
+
 _VISIBLE_TABLE, _FOLDED_TABLE = _Table(_plain), _Table(_folded)
+_VISIBLE, _FOLDED = _Changed(_VISIBLE_TABLE, str), _Changed(_FOLDED_TABLE, str.casefold)
 
 
 def visible_form(text: str) -> str:
     """What a reader sees of ``text``: equal for texts that look the same. Accents are put on their letters again at the end."""
-    text = LINE_ENDS.sub("\n", text)
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_VISIBLE_TABLE))
+    if LINE_ENDS.search(text):
+        text = LINE_ENDS.sub("\n", text)
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFC", _VISIBLE.applied(text))  # which undoes the tables' decomposition
 
 
 def comparison_form(text: str) -> str:
     """The one form of ``text`` for comparisons; applying it again changes nothing."""
-    text = LINE_ENDS.sub("\n", text)
+    if LINE_ENDS.search(text):
+        text = LINE_ENDS.sub("\n", text)
     if text.isascii():
         return text.lower().replace("\t", " ")
-    return unicodedata.normalize("NFC", text.translate(_FOLDED_TABLE))
+    return unicodedata.normalize("NFC", _FOLDED.applied(text))
 
 
 def with_forms(df: DataFrame, text_col: str) -> DataFrame:
