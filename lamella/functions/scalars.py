@@ -251,6 +251,12 @@ def pair_vector(a: Column, b: Column) -> Column:
     )
 
 
+def fused_vector(numbers: list[Column], embedding: Column) -> Column:
+    """Explicit numbers, then the embedding, in one vector; numbers that are not finite are 0, a null embedding gives null."""
+    explicit = F.array(*[number_or_zero(n) for n in numbers])
+    return F.when(embedding.isNotNull(), F.concat(explicit, F.transform(embedding, lambda x: x.cast("double"))))
+
+
 def zip_short(a: Column, b: Column) -> Column:
     """Pairs of the elements at the same place, as many as the shorter array has."""
     n = F.least(F.size(a), F.size(b))

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A reference corpus has at most so many rows; a larger one is no small model and must be sampled by the caller.
+from lamella.common import cut, heavy_keys, salted_join
+from lamella.operators.quantiles import exact_percentiles
+
+#: A model is fitted on at most so many rows of its reference corpus; of a larger corpus on those with the smallest hashes of their ids.
 MAX_REFERENCE = 50_000
 
 
 def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with each column's median and interquartile range, exact with linear interpolation; a zero range counts as 1."""
-    quartiles = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns])
+    """One row with each column's median and interquartile range, exact with linear interpolation; a zero range counts as 1, and a column
+    without finite numbers has nulls."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
+    quartiles = exact_percentiles(long.select("x.c", "x.v"), ["c"], F.col("v"), [0.25, 0.5, 0.75], "q")
+    q = lambda c, i: F.max(F.when(F.col("c") == c, F.col("q")[i]))
     out = []
     for c in columns:
-        span = F.col(c)[2] - F.col(c)[0]
-        out += [F.col(c)[1].alias(f"{c}__median"), F.when(span == 0, 1.0).otherwise(span).alias(f"{c}__range")]
-    return quartiles.select(*out)
+        span = q(c, 2) - q(c, 0)
+        out += [q(c, 1).alias(f"{c}__median"), F.when(span == 0, 1.0).otherwise(span).alias(f"{c}__range")]
+    return quartiles.agg(*out)
 
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,11 +116,10 @@ class ReferenceModel:
     k: int
 
     @classmethod
-    def fit(cls, reference: DataFrame, id_col: str, columns: list[str], components: int = 8, trees: int = 300, k: int = 5, seed: int = 42) -> ReferenceModel:
-        """Fit on a reference corpus of at most ``MAX_REFERENCE`` rows; numbers that are not finite count as 0."""
-        rows = reference.select(id_col, *columns).limit(MAX_REFERENCE + 1).toPandas().sort_values(id_col)
-        if len(rows) > MAX_REFERENCE:
-            raise ValueError(f"a reference corpus has at most {MAX_REFERENCE} rows")
+    def fit(cls, reference: DataFrame, id_col: str, columns: list[str], components: int = 8, trees: int = 300, k: int = 5, seed: int = 42, bound: int = MAX_REFERENCE) -> ReferenceModel:
+        """Fit on a reference corpus; numbers that are not finite count as 0. Of more than ``bound`` rows those with the smallest hashes of
+        their ids are taken, wherever they lie. Percentiles and neighbours are then those among the rows taken."""
+        rows = reference.select(id_col, *columns).orderBy(F.xxhash64(id_col), id_col, *columns).limit(bound).toPandas().sort_values(id_col)
         if len(rows) < 3:
             raise ValueError("a reference corpus has at least three rows")
         x = cleaned(rows[columns])
@@ -127,6 +134,27 @@ class ReferenceModel:
         forest = Forest.fit(corpus, trees, seed=seed)
         return cls(columns, rows[id_col].tolist(), median, span, mean, axes[:n], (s * s / total)[:n], corpus, forest, forest.score(corpus), min(k, len(x)))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the fitted model as one row: its arrays in a portable binary form, its names as text."""
+        parts = {f"forest_{n}": getattr(self.forest, n) for n in ("feature", "threshold", "left", "path", "norm")}
+        parts |= {n: getattr(self, n) for n in ("median", "span", "mean", "axes", "explained", "corpus", "raw")}
+        out = io.BytesIO()
+        np.savez(out, **parts)
+        row = (json.dumps(dict(columns=self.columns, names=self.names, k=self.k)), bytearray(out.getvalue()))
+        spark.createDataFrame([row], "head string, arrays binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ReferenceModel:
+        """A stored model; raises if there is none or more than one."""
+        rows = spark.read.schema("head string, arrays binary").parquet(path).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError("one stored model was expected")
+        head = json.loads(rows[0]["head"])
+        with np.load(io.BytesIO(bytes(rows[0]["arrays"])), allow_pickle=False) as z:
+            parts = {n: z[n] for n in z.files}
+        forest = Forest(*[parts.pop(f"forest_{n}") for n in ("feature", "threshold", "left", "path")], float(parts.pop("forest_norm")))
+        return cls(forest=forest, **head, **parts)
+
     def project(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.median) / self.span - self.mean) @ self.axes.T
 
@@ -162,21 +190,39 @@ def cleaned(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def empirical_percentile(df: DataFrame, value: Column, reference: DataFrame, reference_value: Column, name: str) -> DataFrame:
-    """``df`` with the share of reference values at or below ``value``.
+    """``df`` with the share of reference values at or below ``value``; null if ``value`` is null or NaN, or there are no reference values.
 
-    The sorted reference values are one array, so a row needs a binary search instead of a pass over the reference. The reference must be small
-    (``MAX_REFERENCE``): its array is checked for that and broadcast.
+    Reference values are counted by value first. Up to ``MAX_REFERENCE`` different ones are an array that is broadcast, so a row needs a binary
+    search; of more, values are ranked where they are: all different values are sorted by range, counted within their partition, and rows look up
+    the rank of theirs, those of hot values spread over tasks. Nothing but a count for each partition reaches the driver.
     """
-    values = reference.where(reference_value.isNotNull()).select(reference_value.cast("double").alias("v")).limit(MAX_REFERENCE + 1)
-    sorted_values = np.sort(np.array([r[0] for r in values.collect()], np.float64))
-    if len(sorted_values) > MAX_REFERENCE:
-        raise ValueError(f"a reference corpus has at most {MAX_REFERENCE} rows")
-    shared = df.sparkSession.sparkContext.broadcast(sorted_values)
-
-    @F.pandas_udf("double")
-    def share(v: pd.Series) -> pd.Series:
-        r = shared.value
-        out = np.searchsorted(r, v.to_numpy(np.float64, na_value=np.nan), side="right") / max(len(r), 1)
-        return pd.Series(np.where(v.isna() | (len(r) == 0), np.nan, out))
-
-    return df.withColumn(name, F.nanvl(share(value.cast("double")), F.lit(None).cast("double")))
+    v = reference_value.cast("double")
+    counted = reference.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("c"))
+    few = counted.limit(MAX_REFERENCE + 1).collect()
+    if len(few) <= MAX_REFERENCE:
+        few.sort()
+        at = np.array([r[0] for r in few], np.float64)
+        upto = np.concatenate([[0], np.cumsum([r[1] for r in few])]).astype(np.float64)
+        shared = df.sparkSession.sparkContext.broadcast((at, upto))
+
+        @F.pandas_udf("double")
+        def share(v: pd.Series) -> pd.Series:
+            at, upto = shared.value
+            out = upto[np.searchsorted(at, v.to_numpy(np.float64, na_value=np.nan), side="right")] / max(upto[-1], 1)
+            return pd.Series(np.where(v.isna() | (len(at) == 0), np.nan, out))
+
+        return df.withColumn(name, F.nanvl(share(value.cast("double")), F.lit(None).cast("double")))
+    asked = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).distinct()
+    both = counted.unionByName(asked.withColumn("c", F.lit(0).cast("long"))).groupBy("v").agg(F.sum("c").alias("c"))
+    placed = cut(both.repartitionByRange("v")).withColumn("part", F.spark_partition_id())
+    sums = sorted(tuple(r) for r in placed.groupBy("part").agg(F.sum("c")).collect())  # one for each partition
+    before, total = [], 0
+    for part, n in sums:
+        before.append((part, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "part int, before long"))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = placed.withColumn("upto", upto).join(offsets, "part").select(F.col("v").alias("_v"), ((F.col("upto") + F.col("before")) / total).alias(name))
+    rows = df.withColumn("_v", value.cast("double"))
+    spread = F.struct(*df.columns)
+    return salted_join(rows, ranks, ["_v"], heavy_keys(rows, "_v"), spread, how="left").select(*df.columns, name)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.common import cut
 from lamella.functions import scalars as S
 from lamella.model.reference import ReferenceModel
 from lamella.operators import pairing
@@ -20,6 +21,17 @@ from lamella.raster import color, plates, png
 
 _FEATURE_FIELDS = ",".join(f"{n}:{'int' if n in plates.COUNTS else 'double'}" for n in plates.FEATURES)
 _METRIC_FIELDS = "laplacian_variance:double,dark_clip_fraction:double,bright_clip_fraction:double,saturation_clip_fraction:double,gray_dynamic_range_p95_p5:double"
+#: Digits of the quality metrics.
+METRIC_DIGITS = {
+    "laplacian_variance": 4,
+    "dark_clip_fraction": 6,
+    "bright_clip_fraction": 6,
+    "saturation_clip_fraction": 6,
+    "gray_dynamic_range_p95_p5": 4,
+}
+#: Pictures of a plate and of a pair: column, ending of the file's name, member of the document with its address.
+PLATE_PICTURES = (("crop_png", "", "image_url"), ("mask_png", "_mask", "response_mask_url"))
+PAIR_PICTURES = (("panel_png", "", "panel_url"), ("difference_png", "_difference", "difference_url"), ("aligned_png", "_right_aligned", "right_aligned_url"))
 _PAIR_FIELDS = (
     "dx:double,dy:double,response:double,left_response_area_fraction:double,right_response_area_fraction:double,absolute_area_fraction_delta:double,"
     "response_jaccard_similarity:double,response_xor_fraction:double,mean_common_response_hue_distance:double,"
@@ -56,10 +68,10 @@ def unreadable(images: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def measure_plates(df: DataFrame) -> DataFrame:
-    """``df`` with ``signal_features``, ``metrics`` and ``mask_png`` of each plate's pixels. Thresholds may come as columns
+    """``df`` with ``signal_features``, ``metrics``, ``mask_png`` and ``crop_png`` of each plate's pixels. Thresholds may come as columns
     ``saturation_threshold`` and ``value_threshold`` (of a profile); null or absent ones take the defaults."""
 
-    @F.pandas_udf(f"struct<features:struct<{_FEATURE_FIELDS}>,metrics:struct<{_METRIC_FIELDS}>,mask_png:binary>")
+    @F.pandas_udf(f"struct<features:struct<{_FEATURE_FIELDS}>,metrics:struct<{_METRIC_FIELDS}>,mask_png:binary,crop_png:binary>")
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -67,8 +79,8 @@ def measure_plates(df: DataFrame) -> DataFrame:
                 img = np.frombuffer(data, np.uint8).reshape(plates.PLATE, plates.PLATE, 3)
                 numbers, mask = plates.features(img, s, v)
                 numbers = {n: int(x) if n in plates.COUNTS else x for n, x in numbers.items()}
-                out.append((numbers, plates.quality(img), png.encode(mask)))
-            yield pd.DataFrame(out, columns=["features", "metrics", "mask_png"])
+                out.append((numbers, plates.quality(img), png.encode(mask), png.encode(img)))
+            yield pd.DataFrame(out, columns=["features", "metrics", "mask_png", "crop_png"])
 
     def threshold(name: str, default: int) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
@@ -77,24 +89,24 @@ def measure_plates(df: DataFrame) -> DataFrame:
         "pixels", threshold("saturation_threshold", plates.SATURATION).alias("s"), threshold("value_threshold", plates.VALUE).alias("v")
     )
     out = df.withColumn("_m", measured(given))
-    return out.select(*df.columns, F.col("_m.features").alias("signal_features"), F.col("_m.metrics").alias("metrics"), F.col("_m.mask_png").alias("mask_png"))
+    return out.select(*df.columns, F.col("_m.features").alias("signal_features"), "_m.metrics", "_m.mask_png", "_m.crop_png")
 
 
 def compare_pairs(pairs: DataFrame, left: str = "left_pixels", right: str = "right_pixels", sign: float = 1.0) -> DataFrame:
-    """``pairs`` with ``comparison`` (a struct of the pair's numbers) and ``panel_png``."""
+    """``pairs`` with ``comparison`` (a struct of the pair's numbers), ``panel_png``, ``difference_png`` and ``aligned_png``."""
 
-    @F.pandas_udf(f"struct<record:struct<{_PAIR_FIELDS}>,panel_png:binary>")
+    @F.pandas_udf(f"struct<record:struct<{_PAIR_FIELDS}>,panel_png:binary,difference_png:binary,aligned_png:binary>")
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shape = (plates.PLATE, plates.PLATE, 3)
         for pdf in batches:
             out = []
             for a, b in pdf.itertuples(index=False):
                 record, pictures = plates.compare(np.frombuffer(a, np.uint8).reshape(shape), np.frombuffer(b, np.uint8).reshape(shape), sign)
-                out.append((record, png.encode(pictures["panel"])))
-            yield pd.DataFrame(out, columns=["record", "panel_png"])
+                out.append((record, *(png.encode(pictures[n]) for n in ("panel", "difference", "right_aligned"))))
+            yield pd.DataFrame(out, columns=["record", "panel_png", "difference_png", "aligned_png"])
 
     out = pairs.withColumn("_c", compared(F.struct(F.col(left).alias("a"), F.col(right).alias("b"))))
-    return out.select(*pairs.columns, F.col("_c.record").alias("comparison"), F.col("_c.panel_png").alias("panel_png"))
+    return out.select(*pairs.columns, F.col("_c.record").alias("comparison"), *[f"_c.{n}" for n, _, _ in PAIR_PICTURES])
 
 
 def rounded(struct: str, names: tuple[str, ...], digits: int, counts: tuple[str, ...] = ()) -> Column:
@@ -136,7 +148,7 @@ def scored_plates(images: DataFrame, lookup: DataFrame, model: ReferenceModel, p
         {
             "qc": F.struct(
                 S.qc_status(F.col("flags")).alias("status"), "flags",
-                rounded("metrics", tuple(n.split(":")[0] for n in _METRIC_FIELDS.split(",")), 6).alias("metrics"),
+                F.struct(*[F.round(F.col(f"metrics.{n}"), digits).alias(n) for n, digits in METRIC_DIGITS.items()]).alias("metrics"),
                 F.lit("IMAGE_QUALITY_ONLY").alias("semantics"),
             ),
             "signal_features": rounded("signal_features", plates.FEATURES, 6, plates.COUNTS),
@@ -151,11 +163,27 @@ def bilateral_pairs(scored: DataFrame, exam_id: str) -> DataFrame:
     return compare_pairs(named)
 
 
-def analyze_exam(images: DataFrame, metadata: DataFrame, metadata_text: str, exam_id: str, model: ReferenceModel, profiles: DataFrame | None = None) -> DataFrame:
-    """One row with the nested document of an examination (``exam_id``, ``document``)."""
+def picture_address(exam: str, kind: str, name: Column, ending: str) -> Column:
+    """Where the interface finds a picture: the name under which :func:`write_pictures` stores it."""
+    return F.concat(F.lit(f"/static/{exam}/{kind}/"), file_name(name, ending))
+
+
+def file_name(name: Column, ending: str = "") -> Column:
+    return F.concat(F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_"), F.lit(f"{ending}.png"))
+
+
+def analyze_exam(
+    images: DataFrame, metadata: DataFrame, metadata_text: str, exam_id: str, model: ReferenceModel, profiles: DataFrame | None = None, pictures: str | None = None
+) -> DataFrame:
+    """One row with the nested document of an examination (``exam_id``, ``document``).
+
+    Images are decoded, measured and scored once, and pairs compared once: both are kept, as several parts of the document need them. ``pictures``
+    names a folder that the executors share; the pictures are then written there (``plates`` and ``pairs``).
+    """
     lookup = pairing.upload_lookup(metadata, metadata_text)
-    scored = scored_plates(images, lookup, model, profiles)
+    scored = cut(scored_plates(images, lookup, model, profiles))
     plate = F.struct(
+        *[picture_address(exam_id, "plates", F.col("plate_id"), e).alias(n) for _, e, n in PLATE_PICTURES],
         "plate_id", "qc", "morphology_descriptor", "signal_features", "reference_anomaly_percentile", "nearest_reference_plates",
         F.lit(None).cast("double").alias("clinical_risk"), F.lit("NONE").alias("clinical_claim"), F.col("filename").alias("source_image"),
         "side", "position", "sequence_index", "tlc_profile_id",
@@ -167,7 +195,11 @@ def analyze_exam(images: DataFrame, metadata: DataFrame, metadata_text: str, exa
     )
     source = F.struct(F.col("filename").alias("source_image"), "extraction_mode", "plates_detected", "plates")
     top = sources.agg(F.array_sort(F.collect_list(source)).alias("sources"), F.coalesce(F.sum("plates_detected"), F.lit(0)).cast("int").alias("plates_detected"))
-    pairs = bilateral_pairs(scored, exam_id)
+    pairs = cut(bilateral_pairs(scored, exam_id))
+    if pictures:
+        for frame, name, kind, own in ((scored, "plate_id", "plates", PLATE_PICTURES), (pairs, "bilateral_pair_id", "pairs", PAIR_PICTURES)):
+            for column, ending, _ in own:
+                write_pictures(frame, name, column, f"{pictures}/{exam_id}/{kind}", ending)
     c = lambda n: F.col(f"comparison.{n}")
     numbers = [n.split(":")[0] for n in _PAIR_FIELDS.split(",")][3:]
     pair = F.struct(
@@ -175,6 +207,7 @@ def analyze_exam(images: DataFrame, metadata: DataFrame, metadata_text: str, exa
         *[F.round(c(n), 6).alias(n) for n in numbers],
         F.lit(None).cast("double").alias("clinical_risk"), F.lit("NONE").alias("clinical_claim"),
         "bilateral_pair_id", "position", "left_plate_id", "right_plate_id",
+        *[picture_address(exam_id, "pairs", F.col("bilateral_pair_id"), e).alias(n) for _, e, n in PAIR_PICTURES],
     )
     listed = pairs.agg(F.transform(F.array_sort(F.collect_list(F.struct("bilateral_pair_id", pair.alias("p")))), lambda s: s["p"]).alias("bilateral_analysis"))
     names = lookup.agg(F.count("*").cast("int").alias("metadata_items_supplied"))
@@ -184,7 +217,7 @@ def analyze_exam(images: DataFrame, metadata: DataFrame, metadata_text: str, exa
         F.struct(
             F.lit(exam_id).alias("exam_id"), F.lit("contact_liquid_crystal_thermography").alias("analysis_type"), F.size("sources").alias("source_images"),
             "plates_detected", "metadata_items_supplied", F.size("bilateral_analysis").alias("bilateral_pairs_created"),
-            F.lit(None).cast("double").alias("clinical_risk"), F.lit("NONE").alias("clinical_claim"), F.lit("RESEARCH_ONLY").alias("model_status"),
+            F.lit(None).cast("double").alias("clinical_risk"), F.lit("NONE").alias("clinical_claim"), F.lit("RESEARCH_REFERENCE_ANALYSIS").alias("model_status"),
             "sources", "bilateral_analysis",
         ).alias("document"),
     )
@@ -208,18 +241,19 @@ def is_exam_id(text: str) -> bool:
     return bool(text) and all(ch.isalnum() and ch.isascii() or ch in "._-" for ch in text) and not set(text) <= {"."}
 
 
-def write_pictures(df: DataFrame, name: str, data: str, folder: str) -> None:
-    """Write a binary column as files, one for each row, from where the rows are. ``folder`` must be shared by the executors."""
+def write_pictures(df: DataFrame, name: str, data: str, folder: str, ending: str = "") -> None:
+    """Write a binary column as files, one for each row, from where the rows are. ``folder`` must be a mount that the executors share."""
 
     def write(rows) -> None:
         import os
 
         os.makedirs(folder, exist_ok=True)
         for row in rows:
-            file = "".join(ch if ch.isalnum() or ch in "._-" else "_" for ch in row[0]) + ".png"
-            with open(os.path.join(folder, file), "wb") as f:
+            part = os.path.join(folder, f".{row[0]}.{os.getpid()}")
+            with open(part, "wb") as f:
                 f.write(row[1])
+            os.replace(part, os.path.join(folder, row[0]))  # a task that runs again replaces whole files
 
-    df.select(name, data).foreachPartition(write)
+    df.where(F.col(data).isNotNull()).select(file_name(F.col(name), ending), data).foreachPartition(write)
 
 

@@ -39,14 +39,18 @@ def picture_url(folder: str, name: Column) -> Column:
     return F.concat(F.lit(f"/static/{folder}/"), name, F.lit(".png"))
 
 
-def reference_plates(scores: DataFrame, features: DataFrame, index: DataFrame, keep: tuple[str, ...] = PLATE_COLUMNS) -> DataFrame:
+def reference_plates(scores: DataFrame, features: DataFrame, index: DataFrame, keep: tuple[str, ...] = PLATE_COLUMNS, fused: DataFrame | None = None) -> DataFrame:
     """Scored plates with their features and embedding score, the kept columns only, numbers cleaned, and where the picture is.
 
-    Plates without features or embedding stay, with nulls. Of the index only the two needed columns take part.
+    Plates without features or embedding stay, with nulls. Of the index only the two needed columns take part, and of ``fused`` (a ledger of scores
+    with ``plate_id``, joined last) all but its status.
     """
     joined = left_join_named(scores, features, "plate_id")
     joined = joined.join(index.select("plate_id", "dinov2_reference_anomaly_score_0_1"), "plate_id", "left")
-    out = cleaned(joined.select(*keep))
+    joined = joined.select(*keep)
+    if fused is not None:
+        joined = joined.join(fused.drop("status"), "plate_id", "left")
+    out = cleaned(joined)
     return out.withColumns({"image_url": picture_url("plates", F.col("plate_id")), "score_semantics": F.lit(SEMANTICS)})
 
 

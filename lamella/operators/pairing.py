@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import scalars as S
+from lamella.raster import shapes
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """Of the rows sharing ``keys`` the last by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*[(F.col(o) if isinstance(o, str) else o).desc() for o in order])
-    return df.withColumn("_pos", F.row_number().over(w)).where("_pos = 1").drop("_pos")
+    """Of the rows sharing ``keys`` the last by ``order``, nulls first; of rows that tie in it the greatest by all columns. Combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    place = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_{i}") for i, o in enumerate(order)], *rest)
+    best = df.groupBy(*keys).agg(F.max(place).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col("_best")[c].alias(c) for c in df.columns])
 
 
 def lookup_with_default(df: DataFrame, lookup: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
@@ -60,19 +65,36 @@ def pair_names(df: DataFrame, exam: Column, partition: list[str], order: list[st
     return df.withColumn("bilateral_pair_id", F.format_string("%s-BP-%03d", exam, number))
 
 
+def overlapping_circles(df: DataFrame, group: str) -> DataFrame:
+    """Pairs of circles (``id``, ``x``, ``y``, ``r``) of a group that overlap: ``id_a``, ``id_b`` (the smaller first) and ``iou``.
+
+    Only circles in neighbouring cells of a grid as wide as the group's largest circle meet; its size is taken from the data.
+    """
+    widest = df.groupBy(group).agg(F.greatest(2 * F.max("r"), F.lit(1e-9)).alias("_cell"))
+    a = df.select(group, "id", "x", "y", "r").join(widest, group)
+    a = a.select(group, "id", "x", "y", "r", *[F.floor(F.col(c) / F.col("_cell")).alias(f"_{c}") for c in ("x", "y")])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = a.select(group, *[F.col(n).alias(n + "_b") for n in ("id", "x", "y", "r")], "_x", "_y", F.explode(around).alias("_o"))
+    b = b.select(group, "id_b", "x_b", "y_b", "r_b", (F.col("_x") + F.col("_o.i")).alias("_x"), (F.col("_y") + F.col("_o.j")).alias("_y"))
+    met = a.join(b, [group, "_x", "_y"]).where(F.col("id") < F.col("id_b"))
+    iou = S.circle_iou(*[F.col(n) for n in ("x", "y", "r", "x_b", "y_b", "r_b")])
+    return met.select(group, F.col("id").alias("id_a"), "id_b", iou.alias("iou")).where("iou > 0")
+
+
 def greedy_circles(df: DataFrame, group: list[str], limit: float = 0.35) -> DataFrame:
     """Circles (``id``, ``x``, ``y``, ``r``, ``score``) of a group that overlap no better one that was kept by ``limit`` or more.
 
-    Better is a higher score, then a smaller id. The decision depends on what was kept before, so it is a fold over the group's sorted circles;
-    a group is one image, with few circles.
+    Better is a higher score, then a smaller id. The decision depends on what was kept before, so the circles of a group are gone through in one
+    Arrow batch, best first; each is compared with the kept ones in the cells around it, so the work follows the number of circles. A group is
+    one image: its circles are a few numbers each, and what is kept is bounded by the image's area.
     """
-    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "x", "y", "r")))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*group, "id", "x", "y", "r", "score"]
 
-    def step(kept: Column, c: Column) -> Column:
-        clash = F.exists(kept, lambda o: S.circle_iou(o["x"], o["y"], o["r"], c["x"], c["y"], c["r"]) >= limit)
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(c)))
+    def run(table: pa.Table) -> pa.Table:
+        x, y, r, score = (table.column(c).to_numpy().astype(np.float64) for c in ("x", "y", "r", "score"))
+        order = np.lexsort((table.column("id").to_numpy(), -score))
+        kept = order[shapes.suppress_overlaps(np.column_stack([x, y, r])[order], limit)]
+        return table.select(names).take(pa.array(np.sort(kept)))
 
-    sorted_groups = df.groupBy(*group).agg(best_first.alias("c"))
-    empty = F.filter("c", lambda _: F.lit(False))
-    kept = sorted_groups.select(*group, F.explode(F.aggregate("c", empty, step)).alias("k"))
-    return kept.select(*group, "k.id", "k.x", "k.y", "k.r", (-F.col("k.s")).alias("score"))
+    return df.groupBy(*group).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))

@@ -1,4 +1,4 @@
-"""Aggregates: fractions, masked moments, exact percentiles, first maxima, lists."""
+"""Aggregates: fractions, masked moments, first maxima, lists."""
 
 from __future__ import annotations
 
@@ -20,17 +20,6 @@ def std_or_zero(value: Column, mask: Column) -> Column:
     return F.coalesce(F.stddev_pop(F.when(mask, value)), F.lit(0.0))
 
 
-def percentiles(value: Column, *shares: float) -> Column:
-    """Exact percentiles with linear interpolation, as an array: one aggregate for all of them."""
-    return F.percentile(value, F.array(*[F.lit(s) for s in shares]))
-
-
-def percentile_range(value: Column, low: float = 0.05, high: float = 0.95) -> Column:
-    """Distance of two exact percentiles."""
-    p = percentiles(value, low, high)
-    return p[1] - p[0]
-
-
 def first_largest(result: Column, size: Column, *order: Column) -> Column:
     """``result`` of the row with the largest ``size``; of equal ones the first by ``order``, which must be numbers."""
     return F.max_by(result, F.struct(size, *[-o for o in order]))

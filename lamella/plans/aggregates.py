@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.common import ensure_checkpoint_dir, latest_rows, table
+from lamella.common import cut, ensure_checkpoint_dir, latest_rows, remove_folder, table
 from lamella.functions import scalars as S
 from lamella.model import reference as M
-from lamella.operators import stats, store, vectors
+from lamella.operators import quantiles, stats, store, vectors
 from lamella.plans.registry import Registry
 from lamella.sources import ledgers
 
@@ -57,9 +56,9 @@ def q41_masked_stats(spark: SparkSession, d: str) -> DataFrame:
     """
 )
 def q42_percentile_range(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles: values are counted by key before the shuffle, so repeated values cost one entry."""
+    """Exact percentiles of groups of any size."""
     rows = table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice")
-    p = rows.groupBy("l_returnflag", "l_linestatus").agg(stats.percentiles(F.col("l_extendedprice"), 0.05, 0.9, 0.95).alias("p"))
+    p = quantiles.exact_percentiles(rows, ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), [0.05, 0.9, 0.95], "p")
     return p.select("l_returnflag", "l_linestatus", F.round(F.col("p")[2] - F.col("p")[0], 4).alias("p95_p5"), F.round(F.col("p")[1], 4).alias("p90"))
 
 
@@ -112,6 +111,54 @@ def q51_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return store.detail(table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 42)
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = -1")
+def q55_missing_key(spark: SparkSession, d: str) -> DataFrame:
+    """A key that is not there has no row."""
+    return store.detail(table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", -1)
+
+
+_PLATE_SQL = """'<section class=''plate''><h3>&lt;' || l_partkey || '&gt;</h3><p>Morphology: ' || l_returnflag || ' &amp; ' || l_linestatus || '</p><p>Reference percentile: '
+    || printf('%.3f', l_discount) || '</p><p>Quality: REVIEW (' || CASE WHEN l_tax > 0.05 THEN 'LOW &lt;TAX&gt;, ' ELSE '' END || 'FLAG' || ')</p></section>'"""
+
+
+@query(
+    f"""
+    WITH p AS (SELECT l_orderkey, string_agg({_PLATE_SQL}, '' ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus, l_discount, l_tax) AS plates,
+                      string_agg(CASE WHEN l_quantity > 45 THEN '<section class=''pair''><h3>E' || l_orderkey || '-BP-' || l_linenumber || '</h3><p>' || l_partkey || ' / ' || l_suppkey
+                                 || '</p><p>Asymmetry: ' || printf('%.3f', l_tax) || '</p></section>' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_tax) AS pairs FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, md5('<!doctype html><html><head><meta charset=''utf-8''><title>Report E' || l_orderkey || '</title></head><body><h1>E' || l_orderkey
+           || '</h1><p>Unusualness relative to reference data. Not a diagnosis.</p>' || plates || coalesce(pairs, '<p>No bilateral pairs.</p>') || '</body></html>') AS page FROM p
+    """
+)
+def q56_report_html(spark: SparkSession, d: str) -> DataFrame:
+    """Whole reports of examinations: an order stands for one, its lines for plates and some of them for pairs."""
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+    text = lambda c: F.col(c).cast("string")
+    flags = F.array_compact(F.array(F.when(F.col("l_tax") > 0.05, "LOW <TAX>"), F.lit("FLAG")))
+    plate = F.struct(
+        F.concat(F.lit("<"), text("l_partkey"), F.lit(">")).alias("plate_id"),
+        F.struct(F.lit("REVIEW").alias("status"), flags.alias("flags")).alias("qc"),
+        F.concat_ws(" & ", "l_returnflag", "l_linestatus").alias("morphology_descriptor"),
+        F.col("l_discount").alias("reference_anomaly_percentile"),
+    )
+    pair = F.struct(
+        F.concat(F.lit("E"), text("l_orderkey"), F.lit("-BP-"), text("l_linenumber")).alias("bilateral_pair_id"),
+        text("l_partkey").alias("left_plate_id"), text("l_suppkey").alias("right_plate_id"), F.col("l_tax").alias("reference_asymmetry_score_0_1"),
+    )
+
+    def in_order(keys: tuple[str, ...], value, where=None):
+        own = F.struct(*keys, value.alias("p"))
+        return F.transform(F.array_sort(F.collect_list(own if where is None else F.when(where, own))), lambda s: s["p"])
+
+    document = rows.groupBy("l_orderkey").agg(
+        in_order(("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax"), plate).alias("plates"),
+        in_order(("l_linenumber", "l_partkey", "l_suppkey", "l_tax"), pair, F.col("l_quantity") > 45).alias("pairs"),
+    )
+    exam = F.concat(F.lit("E"), text("l_orderkey")).alias("exam_id")
+    document = document.select("l_orderkey", F.struct(exam, F.array(F.struct("plates")).alias("sources"), F.col("pairs").alias("bilateral_analysis")).alias("d"))
+    return document.select("l_orderkey", F.md5(store.report_html(F.col("d"))).alias("page"))
+
+
 @query(
     """
     SELECT o_orderkey, '<li>' || replace(replace(o_orderpriority, '&', '&amp;'), '<', '&lt;') || ': ' || printf('%.3f', round(o_totalprice, 2)) || '</li>' AS fragment FROM orders
@@ -124,20 +171,22 @@ def q52_report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""
-    SELECT plate_id, reference_anomaly_score_0_1 AS score, nearest_neighbors_json AS neighbors FROM
+    """
+    SELECT plate_id, CASE WHEN isfinite(reference_anomaly_score_0_1) THEN reference_anomaly_score_0_1 END AS score, nearest_neighbors_json AS neighbors FROM
     (SELECT * FROM plate_reference_scores WHERE plate_id IS NOT NULL
      QUALIFY row_number() OVER (PARTITION BY plate_id ORDER BY ingested_at DESC, reference_anomaly_score_0_1 DESC NULLS LAST, nearest_neighbors_json DESC NULLS LAST) = 1)
     """
 )
 def q53_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Written as a CSV ledger and read again; cells hold JSON with quotes, line ends and empty texts."""
+    """Written as a CSV ledger and read again; cells hold JSON with quotes, line ends and empty texts. Numbers that are not finite are none."""
     c = ("plate_id", "reference_anomaly_score_0_1", "nearest_neighbors_json")
     rows = latest_rows(table(spark, d, "plate_reference_scores", *c, "ingested_at"), "plate_id", "ingested_at", *c)
-    path = os.path.join(ensure_checkpoint_dir(spark), f"ledger-{uuid.uuid4().hex}")
-    renamed = rows.select("plate_id", F.col(c[1]).alias("score"), F.col(c[2]).alias("neighbors"))
-    ledgers.write_ledger(renamed, path, null="\\N", empty="")
-    return ledgers.read_ledger(spark, path, ledgers.schema("plate_id:s score:d neighbors:s"), null="\\N")
+    path = f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    renamed = rows.select("plate_id", S.finite_or_null(F.col(c[1])).alias("score"), F.col(c[2]).alias("neighbors"))
+    ledgers.write_ledger(renamed, path, null="\\N")
+    out = cut(ledgers.read_ledger(spark, path, ledgers.schema("plate_id:s score:d neighbors:s"), null="\\N"))
+    remove_folder(spark, path)
+    return out
 
 
 @query(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.common import table
 from lamella.functions import scalars as S
 from lamella.plans.registry import Registry
-from lamella.raster import grids, shapes
+from lamella.raster import filters, grids, plates, shapes
 
 query = Registry()
 
@@ -133,6 +134,22 @@ def q23_vector_repr(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT vec_id, 66 AS width, round(p_size + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_retailprice END, 4) AS explicit_sum, round(list_sum(embedding::DOUBLE[]), 4) AS embedding_sum,
+           round(embedding[64]::DOUBLE, 6) AS last FROM embeddings JOIN part ON p_partkey = vec_id
+    """
+)
+def q29_fused_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Explicit numbers and an embedding as one vector, in parts; a number that is not finite counts as 0."""
+    p = table(spark, d, "part", "p_partkey", "p_size", "p_retailprice")
+    price = F.when(F.col("p_partkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice"))
+    e = table(spark, d, "embeddings", "vec_id", "embedding").join(p, F.col("vec_id") == F.col("p_partkey"))
+    v = e.select("vec_id", S.fused_vector([F.col("p_size"), price], F.col("embedding")).alias("v"))
+    total = lambda a, n: F.round(F.aggregate(F.slice("v", a, n), F.lit(0.0), lambda s, x: s + x), 4)
+    return v.select("vec_id", F.size("v").alias("width"), total(1, 2).alias("explicit_sum"), total(3, 64).alias("embedding_sum"), F.round(F.col("v")[65], 6).alias("last"))
+
+
 @query(f"WITH {_G} SELECT vec_id, y, x, p, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY y, x) AS INTEGER) AS ordinal FROM g")
 def q31_ordinal(spark: SparkSession, d: str) -> DataFrame:
     """Pixels in reading order; an array's positions give the number without a sort."""
@@ -328,3 +345,108 @@ def q79_pair_compare(spark: SparkSession, d: str) -> DataFrame:
     p = _pair_scores(spark, d)
     rounded = [F.round(F.col(a), 6).alias(b) for a, b in (("xor_share", "xor_fraction"), ("jaccard", "jaccard"), ("hue", "mean_hue"))]
     return p.select("pair", "n_both", "n_either", "n_one", F.round(F.abs("area"), 6).alias("area_delta"), *rounded, "score").withColumns(S.guardrails())
+
+
+_PLATES = f"""{_G}, img AS (SELECT vec_id, y * 4 + dy AS y, x * 4 + dx AS x,
+        CASE WHEN (x * 4 + dx - 16) ** 2 + (y * 4 + dy - 16) ** 2 <= 81 THEN p ELSE least(255, p + 100) END AS p
+        FROM g, (SELECT unnest(range(4)) AS dy), (SELECT unnest(range(4)) AS dx)),
+    c AS (SELECT p_partkey AS id, 14 + p_partkey % 5 AS cx, 14 + p_partkey // 5 % 5 AS cy, 1 + p_size % 14 AS r FROM part WHERE p_partkey <= 40)"""
+
+
+@query(
+    f"""
+    WITH {_PLATES}, q AS (SELECT vec_id, id, r, p, (x - cx) ** 2 + (y - cy) ** 2 AS q FROM img, c),
+    s AS (SELECT vec_id, id, count(*) FILTER (WHERE q <= (0.9 * r) ** 2) AS n, count(*) FILTER (WHERE q >= (1.02 * r) ** 2 AND q <= (1.22 * r) ** 2) AS m,
+                 avg(p) FILTER (WHERE q <= (0.9 * r) ** 2) AS a, avg(p) FILTER (WHERE q >= (1.02 * r) ** 2 AND q <= (1.22 * r) ** 2) AS b,
+                 avg(CAST(p < 160 AS DOUBLE)) FILTER (WHERE q <= (0.9 * r) ** 2) AS dark FROM q GROUP BY vec_id, id)
+    SELECT vec_id, id, round(a, 6) AS mean_inside, round(b, 6) AS mean_ring, round(b - a, 6) AS contrast, round(dark, 6) AS dark, b - a > 85 AND dark > 0.75 AND b > 170 AS accepted
+    FROM s WHERE n >= 20 AND m >= 20
+    """
+)
+def q80_circle_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Forty circles scored on each image of a plate: enough pixels inside and around, then contrast, darkness and ring by the rule.
+
+    The images' own contrast is about 100, so the least contrast asked for here is 85.
+    """
+    circles = table(spark, d, "part", "p_partkey", "p_size").where("p_partkey <= 40")
+    c = circles.select(F.col("p_partkey").alias("id"), (14 + F.col("p_partkey") % 5).alias("x"), F.expr("14 + p_partkey div 5 % 5").alias("y"), (1 + F.col("p_size") % 14).alias("r"))
+    shared = sorted(tuple(r) for r in c.collect())  # the circles of an image: forty
+    yy, xx = np.mgrid[:32, :32]
+    plate = (xx - 16) ** 2 + (yy - 16) ** 2 <= 81
+
+    def work(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
+            out = []
+            for i, g in zip(ids, cells.repeat(4, 1).repeat(4, 2)):
+                img = np.where(plate, g, np.minimum(255, g + 100))
+                for k, x, y, r in shared:
+                    score = shapes.circle_score(img, x, y, r)
+                    if score:
+                        out.append((i, k, *score, plates.accepted(score, contrast=85)))
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
+
+    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.bool_()]
+    names = ["vec_id", "id", "mean_inside", "mean_ring", "contrast", "dark", "accepted"]
+    out = _grids(spark, d).mapInArrow(work, "vec_id long, id long, mean_inside double, mean_ring double, contrast double, dark double, accepted boolean")
+    return out.select("vec_id", "id", *[F.round(n, 6).alias(n) for n in names[2:6]], "accepted")
+
+
+@query(
+    f"""
+    WITH {_G}, t AS (SELECT a.vec_id, a.y, a.x, coalesce(b.p, 0) AS p FROM g a LEFT JOIN g b ON b.vec_id = a.vec_id AND b.x = a.x - (a.vec_id % 5 - 2) AND b.y = a.y - (a.vec_id // 5 % 5 - 2))
+    SELECT vec_id, CAST(sum(p) AS BIGINT) AS level_sum, CAST(sum(p * (8 * y + x)) AS BIGINT) AS weighted FROM t GROUP BY vec_id
+    """
+)
+def q81_translate(spark: SparkSession, d: str) -> DataFrame:
+    """Grids shifted by whole pixels, zero outside."""
+
+    def work(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
+            moved = np.array([filters.translate(g, int(i % 5 - 2), int(i // 5 % 5 - 2)) for i, g in zip(ids, cells)]).reshape(-1, 64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(moved.sum(1)), pa.array(moved @ np.arange(64))], ["vec_id", "level_sum", "weighted"])
+
+    return _grids(spark, d).mapInArrow(work, "vec_id long, level_sum long, weighted long")
+
+
+@query(
+    """
+    SELECT vec_id, CAST(vec_id % 7 - 3 AS INTEGER) AS dx, CAST(vec_id // 7 % 7 - 3 AS INTEGER) AS dy FROM embeddings
+    """
+)
+def q82_register(spark: SparkSession, d: str) -> DataFrame:
+    """The shift of a picture that was turned around its edges by a known distance, from phase correlation."""
+
+    def work(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8).astype(np.float64)
+            found = []
+            for i, g in zip(ids, cells.repeat(2, 1).repeat(2, 2)):
+                g = g + np.add.outer(np.arange(16) % 3, np.arange(16) % 5)
+                x, y, _ = filters.phase_shift(g, np.roll(g, (int(i // 7 % 7 - 3), int(i % 7 - 3)), (0, 1)))
+                found.append((int(np.rint(x)), int(np.rint(y))))
+            x, y = np.array(found, np.int32).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(y)], ["vec_id", "dx", "dy"])
+
+    return _grids(spark, d).mapInArrow(work, "vec_id long, dx int, dy int")
+
+
+@query(
+    f"""
+    WITH {_PAIRS}, h AS (SELECT pair, least(abs(l - r) % 180, 180 - abs(l - r) % 180) AS d FROM pp WHERE ml AND mr)
+    SELECT pair, count(*) AS n, round(quantile_cont(d, 0.9), 6) AS p90 FROM h GROUP BY pair
+    """
+)
+def q83_pair_p90(spark: SparkSession, d: str) -> DataFrame:
+    """The ninetieth percentile of the hue distance where both of a pair respond."""
+    z = F.filter(F.arrays_zip("l", "r"), lambda c: (c["l"] > LEVEL) & (c["r"] > LEVEL))
+    h = _pairs(spark, d).select("pair", F.array_sort(F.transform(z, lambda c: S.hue_distance(F.abs(c["l"] - c["r"]) % 180, F.lit(0), 180).cast("double"))).alias("h"))
+    at = 0.9 * (F.size("h") - 1)
+    low, high = F.get("h", F.floor(at).cast("int")), F.get("h", F.ceil(at).cast("int"))
+    h = h.where(F.size("h") > 0).select("pair", F.size("h").cast("long").alias("n"), (low + (at - F.floor(at)) * (high - low)).alias("p90"))
+    return h.select("pair", "n", F.round("p90", 6).alias("p90"))

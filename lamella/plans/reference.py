@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.common import latest_rows, table
@@ -51,6 +51,48 @@ def q01_reference_plates(spark: SparkSession, d: str) -> DataFrame:
     return ledger.reference_plates(*parts)
 
 
+_FUSED = "embedding_norm, status"
+
+
+@query(
+    f"""
+    SELECT s.plate_id, {_clean_sql("s.reference_anomaly_score_0_1")} AS reference_anomaly_score_0_1, s.status, s.heuristic_morphology_v0,
+           {_clean_sql("f.response_area_fraction")} AS response_area_fraction, f.component_count, {_clean_sql("f.largest_elongation")} AS largest_elongation,
+           {_clean_sql("f.hue_mean")} AS hue_mean, {_clean_sql("i.dinov2_reference_anomaly_score_0_1")} AS dinov2_reference_anomaly_score_0_1,
+           {_clean_sql("u.embedding_norm")} AS fused_score, '/static/plates/' || s.plate_id || '.png' AS image_url, 'REFERENCE_UNUSUALNESS_ONLY' AS score_semantics
+    FROM {latest_sql("plate_reference_scores", "plate_id", _SCORES)} s
+    LEFT JOIN {latest_sql("features_v0_1", "plate_id", _FEATURES)} f ON f.plate_id = s.plate_id
+    LEFT JOIN {latest_sql("plate_index", "plate_id", "dinov2_reference_anomaly_score_0_1")} i ON i.plate_id = s.plate_id
+    LEFT JOIN (SELECT * FROM {latest_sql("plate_reference_scores", "plate_id", _FUSED)} WHERE embedding_norm > 1) u ON u.plate_id = s.plate_id
+    """
+)
+def q33_fused_plates(spark: SparkSession, d: str) -> DataFrame:
+    """As q01, with a ledger of fused scores joined last; here some plates' lengths stand for fused scores."""
+    parts = []
+    for name, columns in (("plate_reference_scores", _SCORES), ("features_v0_1", _FEATURES), ("plate_index", "dinov2_reference_anomaly_score_0_1"), ("plate_reference_scores", _FUSED)):
+        c = _names(columns)
+        parts.append(latest_rows(table(spark, d, name, "plate_id", "ingested_at", *c), "plate_id", "ingested_at", "plate_id", *c))
+    fused = parts.pop().where("embedding_norm > 1 and not isnan(embedding_norm)").withColumnRenamed("embedding_norm", "fused_score")
+    return ledger.reference_plates(*parts, fused=fused)
+
+
+@query(
+    """
+    WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id % 4 AS k FROM events)
+    SELECT event_id, CASE k WHEN 0 THEN 'AUTO-' || lpad(CAST(i AS VARCHAR), 2, '0') WHEN 1 THEN '' ELSE 'P' || k END AS position,
+           CAST(CASE k WHEN 0 THEN i WHEN 1 THEN 0 ELSE k END AS INTEGER) AS sequence_index FROM n
+    """
+)
+def q34_position_default(spark: SparkSession, d: str) -> DataFrame:
+    """Positions and sequence numbers with their defaults; an empty position and an explicit 0 stay."""
+    k = F.col("event_id") % 4
+    ordinal = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, d, "events", "event_id", "user_id").withColumn("i", ordinal)
+    position = F.when(k == 1, "").when(k > 1, F.concat(F.lit("P"), k.cast("string")))
+    sequence = F.when(k == 1, 0).when(k > 1, k.cast("int"))
+    return e.select("event_id", S.position_or_auto(position, F.col("i")).alias("position"), F.coalesce(sequence, "i").alias("sequence_index"))
+
+
 _PAIR = "source_group, left_reference_plate, right_reference_plate, absolute_area_fraction_delta, reference_pair_anomaly_score_0_1"
 
 
@@ -141,16 +183,9 @@ def _iou_sql(a: str, b: str) -> str:
     """
 )
 def q06_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping circles of an image: only circles in neighbouring cells of a grid as wide as the largest circle meet."""
-    c = _circles(spark, d)
-    cell = 2 * 55.0  # the largest circle
-    a = c.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.select(F.col("brand"), *[F.col(n).alias(n + "2") for n in ("id", "x", "y", "r")], "cx", "cy", F.explode(around).alias("o"))
-    b = b.select("brand", "id2", "x2", "y2", "r2", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    iou = F.round(S.circle_iou(*[F.col(n) for n in ("x", "y", "r", "x2", "y2", "r2")]), 6)
-    met = a.join(b, ["brand", "cx", "cy"]).where(F.col("id") < F.col("id2"))
-    return met.select(F.col("id").alias("id_a"), F.col("id2").alias("id_b"), iou.alias("iou")).where("iou > 0")
+    """Overlapping circles of an image."""
+    pairs = pairing.overlapping_circles(_circles(spark, d), "brand")
+    return pairs.select("id_a", "id_b", F.round("iou", 6).alias("iou")).where("iou > 0")
 
 
 @query(

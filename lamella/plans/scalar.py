@@ -101,17 +101,25 @@ def q15_json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH j AS (SELECT plate_id, ingested_at, recorded_at, reference_anomaly_score_0_1, try_cast(nearest_neighbors_json AS JSON) AS j, nearest_neighbors_json AS t FROM plate_reference_scores)
-    SELECT plate_id, ingested_at, recorded_at, reference_anomaly_score_0_1, count(*) AS n_rows,
-           CAST(max(CASE WHEN json_valid(t) AND json_type(j) = 'ARRAY' THEN json_array_length(j) ELSE 0 END) AS INTEGER) AS n_neighbors
-    FROM j WHERE json_valid(t) AND json_type(try_cast(t AS JSON)) = 'ARRAY' GROUP BY ALL
+    WITH j AS (SELECT plate_id, ingested_at, recorded_at, CASE WHEN isfinite(reference_anomaly_score_0_1) THEN reference_anomaly_score_0_1 END AS score,
+                      CASE WHEN json_valid(nearest_neighbors_json) THEN CAST(nearest_neighbors_json AS JSON) END AS j FROM plate_reference_scores)
+    SELECT plate_id, ingested_at, recorded_at, score, count(*) AS n_rows, CAST(max(json_array_length(j)) AS INTEGER) AS n_neighbors,
+           max(json_extract_string(j, '$[0].plate_id')) AS first_neighbor, max(TRY_CAST(json_extract_string(j, '$[0].cosine_distance') AS DOUBLE)) AS first_distance
+    FROM j WHERE json_type(j) = 'ARRAY' GROUP BY ALL
     """
 )
 def q16_json_array(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths of stored neighbour lists that can be read."""
+    """Stored neighbour lists that can be read: how many neighbours, and the first one."""
     t = table(spark, d, "plate_reference_scores", "plate_id", "ingested_at", "recorded_at", "reference_anomaly_score_0_1", "nearest_neighbors_json")
-    n = F.json_array_length("nearest_neighbors_json")
-    return t.where(n.isNotNull()).groupBy("plate_id", "ingested_at", "recorded_at", "reference_anomaly_score_0_1").agg(F.count("*").alias("n_rows"), F.max(n).alias("n_neighbors"))
+    near = S.neighbor_list(F.col("nearest_neighbors_json"))
+    t = t.select("plate_id", "ingested_at", "recorded_at", S.finite_or_null(F.col("reference_anomaly_score_0_1")).alias("score"), near.alias("near"))
+    first = F.get("near", F.lit(0))
+    return t.where("near is not null").groupBy("plate_id", "ingested_at", "recorded_at", "score").agg(
+        F.count("*").alias("n_rows"),
+        F.max(F.size("near")).alias("n_neighbors"),
+        F.max(first["plate_id"]).alias("first_neighbor"),
+        F.max(first["cosine_distance"]).alias("first_distance"),
+    )
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS total, o_orderpriority AS priority, CAST(NULL AS DOUBLE) AS risk FROM orders")

@@ -117,3 +117,23 @@ def phase_shift(reference: np.ndarray, moving: np.ndarray) -> tuple[float, float
     y, x = py + (part * oy).sum() / total, px + (part * ox).sum() / total
     y, x = (y - h if y > h / 2 else y), (x - w if x > w / 2 else x)
     return float(x), float(y), float(total)
+
+
+#: Mean and spread of the channels (red, green, blue) for which public image encoders are trained.
+CHANNEL_MEAN, CHANNEL_SPREAD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def encoder_input(bgr: np.ndarray, short: int = 256, side: int = 224) -> np.ndarray:
+    """What an image encoder is given: the short side resized, the middle cut out, channels first in RGB order and standardised."""
+    h, w = bgr.shape[:2]
+    scale = short / min(h, w)
+    size = max(short, round(h * scale)), max(short, round(w * scale))
+    y, x = ((np.arange(n) + 0.5) * m / n - 0.5 for n, m in zip(size, (h, w)))
+    y0, x0 = np.clip(np.floor(y).astype(int), 0, h - 1), np.clip(np.floor(x).astype(int), 0, w - 1)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = np.clip(y - y0, 0, 1)[:, None, None], np.clip(x - x0, 0, 1)[:, None]
+    img = bgr[..., ::-1].astype(np.float64) / 255
+    out = (img[y0][:, x0] * (1 - fx) + img[y0][:, x1] * fx) * (1 - fy) + (img[y1][:, x0] * (1 - fx) + img[y1][:, x1] * fx) * fy
+    top, left = (size[0] - side) // 2, (size[1] - side) // 2
+    out = (out[top : top + side, left : left + side] - CHANNEL_MEAN) / CHANNEL_SPREAD
+    return np.ascontiguousarray(np.moveaxis(out, -1, 0).astype(np.float32))

@@ -39,6 +39,11 @@ def response_mask(hsv: np.ndarray, saturation: int = SATURATION, value: int = VA
     return shapes.closed(shapes.opened(active))
 
 
+def accepted(score: tuple[float, float, float, float], contrast: float = 100, ring: float = 170, dark: float = 0.75) -> bool:
+    """Whether a circle's score (means inside and around, contrast, share of dark pixels) is that of a plate."""
+    return score[2] > contrast and score[3] > dark and score[1] > ring
+
+
 def find_plates(bgr: np.ndarray) -> list[tuple[int, int, int, tuple[float, float, float, float]]]:
     """Circles that look like plates, in reading order, with their scores."""
     gray = color.gray(bgr)
@@ -48,7 +53,7 @@ def find_plates(bgr: np.ndarray) -> list[tuple[int, int, int, tuple[float, float
     found = []
     for x, y, r in shapes.hough_circles(filters.gaussian(gray, 7, 1.5), low, high):
         score = shapes.circle_score(gray, x, y, r)
-        if score and score[2] > 100 and score[3] > 0.75 and score[1] > 170:
+        if score and accepted(score):
             found.append((x, y, r, score))
     found.sort(key=lambda c: -c[3][2])
     kept = shapes.suppress_overlaps([c[:3] for c in found])

@@ -16,6 +16,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when no frame needs them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

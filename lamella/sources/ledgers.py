@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +81,25 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_matrix(spark: SparkSession, path: str, index: str = "embedding_row", vector: str = "embedding") -> DataFrame:
+    """A matrix in NumPy's file format: a row number from 0 and the row's cells in single precision. Files that hold no matrix of numbers raise.
+
+    A file is one task's; of a folder each file keeps its own numbers. Only the format's plain arrays are read, never objects.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                matrix = np.load(io.BytesIO(data), allow_pickle=False)
+                if matrix.ndim != 2 or matrix.dtype.kind not in "fiu":
+                    raise ValueError("a matrix of numbers was expected")
+                for a in range(0, len(matrix), 4_096):
+                    rows = pa.array(list(matrix[a : a + 4_096].astype(np.float32)), pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(rows), dtype=np.int64)), rows], [index, vector])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"`{index}` long, `{vector}` array<float>")
+
+
 def read_vectors(spark: SparkSession, path: str, vector: str = "embedding") -> DataFrame:
     """A matrix stored with a row for each vector; its cells in single precision."""
     return spark.read.parquet(path).withColumn(vector, F.col(vector).cast("array<float>"))

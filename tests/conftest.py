@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -39,6 +39,13 @@ def data_dir():
     return DATA
 
 
+@pytest.fixture(scope="session")
+def larger_dir():
+    if not os.path.isdir(LARGER):
+        pytest.skip("test tables are absent")
+    return LARGER
+
+
 def rows(df, *columns):
     """The rows of a frame as a sorted list of tuples."""
     return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)

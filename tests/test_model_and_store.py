@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.model import reference as M
-from lamella.operators import ledger, pairing, store, vectors
+from lamella.operators import ledger, pairing, quantiles, store, vectors
 from lamella.plans import aggregates
+from lamella.raster import shapes
+from lamella.sources import ledgers
 from tests.conftest import rows
 
 
@@ -136,3 +138,97 @@ def test_reference_queries_use_all_components(spark, tmp_path):
     assert len(explained) == 8 and min(explained) > 0.01
     score = {r["plate_id"]: r["reference_anomaly_percentile"] for r in aggregates.q63_iforest_percentile(spark, str(tmp_path)).collect()}
     assert len(score) == 40 and score["39"] == 1.0 and min(score.values()) < 0.1
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.lognormal(3, 2, 5_000), "b": np.round(rng.normal(0, 3, 400)), "c": np.array([7.0]), "d": np.array([-1e300, 1e300, 1.0, 1.0 + 1e-15]), None: rng.random(50)}
+    data = [(k, float(v), "x") for k, vs in groups.items() for v in vs] + [("a", None, "x"), ("a", math.nan, "x"), ("e", math.inf, "x")]
+    df = spark.createDataFrame(data, "g string, v double, n string")
+    shares = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["p"] for r in quantiles.exact_percentiles(df, ["g"], F.col("v"), shares, "p").collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        s = np.sort(vs)
+        at = np.array(shares) * (len(s) - 1)
+        low, high = s[np.floor(at).astype(int)], s[np.ceil(at).astype(int)]
+        assert got[k] == pytest.approx((low + (at - np.floor(at)) * (high - low)).tolist(), rel=1e-15)
+    one = quantiles.exact_percentiles(df.where("g = 'b'"), [], F.col("v"), [0.25])
+    assert one.columns == ["percentiles"] and one.first()[0][0] == np.percentile(groups["b"], 25)
+    assert quantiles.exact_percentiles(df.limit(0), ["g"], F.col("v"), [0.5]).count() == 0
+
+
+def test_percentile_among_many_values(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_REFERENCE", 20)
+    rng = np.random.default_rng(2)
+    ref = np.r_[rng.normal(size=300).round(2), np.full(150, 0.5)]
+    asked = np.r_[rng.normal(size=200).round(2), np.full(100, 0.5), -9, 9]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(asked)] + [(-1, None), (-2, math.nan)], "v long, x double")
+    other = spark.createDataFrame([(float(v),) for v in ref] + [(None,), (math.nan,)], "v double")
+    got = {r["v"]: r["p"] for r in M.empirical_percentile(df, F.col("x"), other, F.col("v"), "p").collect()}
+    assert got.pop(-1) is None and got.pop(-2) is None and len(got) == len(asked)
+    assert all(got[i] == pytest.approx((ref <= v).mean()) for i, v in enumerate(asked))
+
+
+def test_model_is_stored_and_bounded(spark, corpus, tmp_path):
+    model = M.ReferenceModel.fit(corpus, "plate_id", COLUMNS, trees=40)
+    model.save(spark, str(tmp_path / "m"))
+    model.save(spark, str(tmp_path / "m"))
+    again = M.ReferenceModel.load(spark, str(tmp_path / "m"))
+    assert rows(again.transform(corpus)) == rows(model.transform(corpus))
+    few = M.ReferenceModel.fit(corpus, "plate_id", COLUMNS, trees=10, bound=25)
+    assert len(few.names) == 25 and few.names == M.ReferenceModel.fit(corpus.repartition(7), "plate_id", COLUMNS, trees=10, bound=25).names
+    with pytest.raises(ValueError):
+        M.ReferenceModel.load(spark, _empty_model(spark, tmp_path))
+
+
+def _empty_model(spark, tmp_path):
+    spark.createDataFrame([], "head string, arrays binary").write.parquet(str(tmp_path / "none"))
+    return str(tmp_path / "none")
+
+
+def test_overlaps_of_wide_circles(spark):
+    """The grid follows the data: no pair is lost, however large a circle is, and each image has its own cells."""
+    rng = np.random.default_rng(4)
+    data = [("a", i, *map(float, rng.random(2) * 900), float(rng.choice([3, 40, 300])), float(i % 5)) for i in range(80)]
+    data += [("b", 100 + i, *map(float, rng.random(2) * 9), 1.0, 1.0) for i in range(30)] + [("c", 200, 1.0, 1.0, 0.0, 1.0)]
+    df = spark.createDataFrame(data, "g string, id long, x double, y double, r double, score double")
+    want = [(a[0], a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] < b[1] and shapes.circle_overlap(*a[2:5], *b[2:5]) > 0]
+    assert rows(pairing.overlapping_circles(df, "g"), "g", "id_a", "id_b") == sorted(want, key=repr)
+    kept = []
+    for c in sorted(data, key=lambda c: (c[0], -c[5], c[1])):
+        if all(k[0] != c[0] or shapes.circle_overlap(*k[2:5], *c[2:5]) < 0.35 for k in kept):
+            kept.append(c)
+    assert rows(pairing.greedy_circles(df, ["g"])) == sorted(kept, key=repr)
+
+
+def test_last_wins_and_current_tell_ties_apart(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", None, None)], "k string, at int, v string")
+    assert rows(pairing.last_wins(df, ["k"], ["at"])) == [("a", 1, "y"), ("b", None, "z")]
+    assert rows(store.current(df, "k", "at")) == [("a", 1, "y"), ("b", None, "z")]
+    assert store.current(df, "k", "at").columns == ["k", "at", "v"]
+
+
+def test_numbers_of_all_kinds_in_a_ledger(spark, tmp_path):
+    data = [("a", math.nan, 'x "y"\n'), ("b", math.inf, ""), ("c", -math.inf, None), ("d", None, " z "), ("e", 0.1, "\\N?")]
+    columns = ledgers.schema("k:s v:d t:s")
+    ledgers.write_ledger(spark.createDataFrame(data, columns), str(tmp_path / "l"), null="\\N")
+    back = ledgers.read_ledger(spark, str(tmp_path / "l"), columns, null="\\N")
+    assert repr(rows(back)) == repr(sorted(data, key=repr))
+
+
+def test_matrix_files(spark, tmp_path):
+    x = np.random.default_rng(0).random((7, 5))
+    np.save(tmp_path / "m.npy", x)
+    got = rows(ledgers.read_matrix(spark, str(tmp_path / "m.npy")))
+    assert [r[0] for r in got] == list(range(7)) and np.allclose([r[1] for r in got], x)
+    np.save(tmp_path / "flat.npy", x[0])
+    with pytest.raises(Exception, match="matrix"):
+        ledgers.read_matrix(spark, str(tmp_path / "flat.npy")).collect()
+
+
+def test_nearest_reference_on_ties(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(30)], "id long, v array<double>")
+    want = [(i, k + 1, j) for i in range(30) for k, j in enumerate([j for j in range(30) if j % 2 == i % 2 and j != i][:4])]
+    for block in (4, 100):
+        assert rows(vectors.nearest_reference(df, df, "id", "v", k=4, block=block), "id", "rank", "neighbor") == sorted(want, key=repr)

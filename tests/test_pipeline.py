@@ -71,11 +71,17 @@ def test_analysis(spark, engine, images):
     assert pair["bilateral_pair_id"] == "exam-1-BP-001" and pair["mean_common_response_hue_distance"] == 60
     plate = [s for s in out["sources"] if s["source_image"] == "right.png"][0]["plates"][0]
     assert plate["plate_id"] == "right-P01" and plate["side"] == "RIGHT" and plate["tlc_profile_id"] == "client-device-tlc-pending"
+    assert plate["image_url"] == "/static/exam-1/plates/right-P01.png" and plate["response_mask_url"].endswith("right-P01_mask.png")
+    assert pair["difference_url"] == "/static/exam-1/pairs/exam-1-BP-001_difference.png" and pair["right_aligned_url"].endswith("_right_aligned.png")
+    assert out["model_status"] == "RESEARCH_REFERENCE_ANALYSIS"
+    metrics = plate["qc"]["metrics"]
+    assert all(metrics[n] == round(metrics[n], d) for n, d in analysis.METRIC_DIGITS.items()) and metrics["laplacian_variance"] > 0
     assert len(plate["nearest_reference_plates"]) == 5 and 0 <= plate["reference_anomaly_percentile"] <= 1
     stored = engine.get_exam("exam-1").first()
     assert stored["document"]["bilateral_pairs_created"] == 1
     assert "NaN" not in stored["result_json"] and json.loads(stored["result_json"])["clinical_risk"] is None
     assert engine.get_exam("none").count() == 0
+    assert stored["saved_at"] == stored["created_at"] and stored["report_url"] == "/reports/exam-1"
     assert [r["exam_id"] for r in engine.list_exams(20).collect()] == ["exam-1"]
     page = engine.report_html("exam-1").first()["html"]
     assert "exam-1-BP-001" in page and "diagnosis" in page
@@ -83,6 +89,23 @@ def test_analysis(spark, engine, images):
     assert engine.list_exams().count() == 1 and engine.get_exam("exam-1").first()["document"]["bilateral_pairs_created"] == 0
 
 
+def test_an_analysis_runs_once_and_writes_its_pictures(spark, engine, images, tmp_path):
+    other = Engine(spark, engine.paths, "exams_pictures", str(tmp_path / "pictures"), str(tmp_path / "model"))
+    meta = [{"filename": "left one.png", "side": "L", "position": "A"}, {"filename": "right.png", "side": "R", "position": "A"}]
+    out = other.analyze_exam(images, json.dumps(meta), "exam-2")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan  # what is returned was computed before
+    row = out.first()
+    assert row["report_url"] == "/reports/exam-2" and row["saved_at"] == other.get_exam("exam-2").first()["saved_at"]
+    for where, pictures in ((("plates",), [p for s in row["document"]["sources"] for p in s["plates"]]), (("pairs",), row["document"]["bilateral_analysis"])):
+        for p in pictures:
+            for name in [n for n in p.asDict() if n.endswith("_url")]:
+                file = tmp_path / "pictures" / p[name].removeprefix("/static/")
+                assert file.read_bytes()[:4] == b"\x89PNG", name
+    assert len(list((tmp_path / "pictures" / "exam-2" / "pairs").glob("*.png"))) == 3
+    assert rows(Engine(spark, {}, model=str(tmp_path / "model")).model().transform(other._ledger("features"))) == rows(other.model().transform(other._ledger("features")))
+
+
 def test_bad_requests(engine, images, tmp_path):
     for bad in ("", "..", "a/b", "x y"):
         with pytest.raises(ValueError):

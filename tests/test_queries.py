@@ -9,6 +9,11 @@ def test_same_as_sql(spark, data_dir, name):
     compare(spark, data_dir, catalog.QUERIES[name], catalog.ORACLE[name])
 
 
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+def test_same_as_sql_on_more_rows(spark, larger_dir, name):
+    compare(spark, larger_dir, catalog.QUERIES[name], catalog.ORACLE[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, data_dir, name):
     assert catalog.QUERIES[name](spark, data_dir).count() > 0

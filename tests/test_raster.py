@@ -208,3 +208,39 @@ def test_png():
 def test_heat_colors():
     m = color.heat_colors(np.arange(256, dtype=np.uint8))
     assert m.shape == (256, 3) and m[128, 1] > 200 and m[250, 2] > m[250, 0]
+
+
+def test_every_circle_is_found():
+    """Many small circles beside a large one: none is lost to a bound on the places that are tried."""
+    img = np.full((700, 900), 255, np.uint8)
+    yy, xx = np.mgrid[:700, :900]
+    want = [(200, 350, 150)] + [(450 + 90 * i, 80 + 90 * j, 30) for i in range(5) for j in range(6)]
+    for x, y, r in want:
+        img[(xx - x) ** 2 + (yy - y) ** 2 <= r * r] = 40
+    got = shapes.hough_circles(filters.gaussian(img, 7, 1.5), 25, 170)
+    for x, y, r in want:
+        assert any(abs(a - x) <= 2 and abs(b - y) <= 2 and abs(c - r) <= 2 for a, b, c in got), (x, y, r)
+
+
+@pytest.mark.parametrize("noise", [5, 15, 30])
+def test_circles_in_noise(noise):
+    rng = np.random.default_rng(noise)
+    img = np.full((300, 400), 230.0)
+    yy, xx = np.mgrid[:300, :400]
+    want = [(90, 100, 50), (270, 160, 60)]
+    for x, y, r in want:
+        img[(xx - x) ** 2 + (yy - y) ** 2 <= r * r] = 50
+    img = np.clip(img + rng.normal(0, noise, img.shape), 0, 255).astype(np.uint8)
+    got = shapes.hough_circles(filters.gaussian(img, 7, 1.5), 18, 144)
+    for x, y, r in want:
+        assert any(abs(a - x) <= 3 and abs(b - y) <= 3 and abs(c - r) <= 3 for a, b, c in got)
+
+
+def test_encoder_input():
+    flat = np.full((300, 500, 3), (255, 0, 0), np.uint8)  # blue
+    out = filters.encoder_input(flat)
+    assert out.shape == (3, 224, 224) and out.dtype == np.float32
+    assert np.allclose(out[:, 0, 0], [(v - m) / s for v, m, s in zip((0, 0, 1), filters.CHANNEL_MEAN, filters.CHANNEL_SPREAD)], atol=1e-6)
+    ramp = np.repeat(np.linspace(0, 255, 512).astype(np.uint8)[None, :, None], 256, 0).repeat(3, 2)
+    row = filters.encoder_input(ramp)[0, 100]
+    assert (np.diff(row) >= -1e-6).all() and abs(row.mean() * 0.229 + 0.485 - 0.5) < 0.01
