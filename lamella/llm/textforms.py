@@ -19,9 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.common import cut, heavy_keys, salted_join
+from lamella.common import checked_broadcast, cut, heavy_keys, salted_join
 
-#: Letters of other scripts that look like a Latin one, in the order of their code points.
+#: A key with fewer rows is not spread over tasks.
+HOT_ROWS = 10_000
+
+#: Letters of other scripts that look like a Latin one, in the order of their code points. All, or their other case, are confusable
+#: characters of Unicode's published table (a test looks them up in the copy that Spark brings along); that table also holds pairs that a
+#: reader can tell apart in running text, which are left out here.
 LOOKALIKES = str.maketrans(
     {
         # Greek
@@ -172,33 +177,41 @@ def _fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def forms_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each row with a text: ``id_col``, ``class_id`` (smallest id of the texts with its comparison form), ``class_size``.
+    """One row for each row with a text: ``id_col``, ``class_id``, ``class_size``, ``look_id``, ``look_size``.
 
-    The smallest id and the size are combined before the shuffle, then joined back, rows of hot classes spread over tasks.
-    Null and blank texts have no class.
+    ``class_id`` is the smallest id of the texts with the same comparison form, ``look_id`` that of those which also look the same to a
+    reader: each text is linked to the representative of its looks, whatever the number of copies. Smallest ids and sizes are combined before the shuffle, then
+    joined back, rows of hot classes spread over tasks. Null and blank texts have no class.
     """
-    prints = cut(_fingerprints(df, id_col, text_col).select("id", "compare"))
-    classes = prints.groupBy("compare").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    joined = salted_join(prints, classes, ["compare"], heavy_keys(prints, "compare"), F.col("id"))
-    return joined.select(F.col("id").alias(id_col), "class_id", "class_size")
+    prints = cut(_fingerprints(df, id_col, text_col).select("id", "compare", "seen"))
+    looks = prints.groupBy("compare", "seen").agg(F.min("id").alias("look_id"), F.count("*").alias("look_size"))
+    classes = looks.groupBy("compare").agg(F.min("look_id").alias("class_id"), F.sum("look_size").alias("class_size"))
+    both = looks.join(classes, "compare").drop("compare")
+    joined = salted_join(prints, both, ["seen"], heavy_keys(prints, "seen"), F.col("id"))
+    return joined.select(F.col("id").alias(id_col), "class_id", "class_size", "look_id", "look_size")
 
 
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of ids (smaller first) whose texts differ but look the same; null, empty and blank texts are no case.
 
-    Candidates share the comparison form; what a reader can see is then checked by the visible form. Only groups that hold
-    at least two different texts are expanded, by joining the rows of one text with those of another, never a group with itself;
-    the result is as large as the definition asks. Rows of much-copied texts are spread over tasks.
+    Candidates share the comparison form; what a reader can see is then checked by the visible form. A group holds a case if its smallest and largest
+    text differ, which is combined before the shuffle, so all further steps see only rows of such groups. There the different texts
+    of a group are paired, and then the rows of one text with those of another, never a text's rows with each other: the
+    result is as large as the definition asks. Texts of groups with very many, and rows of much-copied texts, are spread over tasks.
     """
-    prints = cut(_fingerprints(df, id_col, text_col))  # read several times; texts are not
-    texts = prints.groupBy("compare", "seen", "own").agg(F.count("*").alias("copies"))
-    groups = texts.groupBy("compare", "seen").agg(F.count("*").alias("kinds")).where("kinds > 1").select("compare", "seen")
-    kinds = texts.join(groups, ["compare", "seen"], "left_semi").select("compare", "seen", "own")
+    prints = cut(_fingerprints(df, id_col, text_col))  # read twice; texts are not
+    mixed = prints.groupBy("compare", "seen").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("compare", "seen")
+    rows = cut(prints.join(checked_broadcast(mixed), ["compare", "seen"], "left_semi").select("seen", "own", "id"))
+    kinds = rows.select("seen", "own").distinct()
     other = kinds.withColumnRenamed("own", "own_b")
-    pairs = kinds.join(other, ["compare", "seen"]).where(F.col("own") < F.col("own_b")).select("own", "own_b")  # of different texts
-    rows = prints.join(kinds.select("own"), "own", "left_semi").select("own", "id")
-    hot = heavy_keys(rows, "own")
-    left = salted_join(rows.withColumnRenamed("id", "a"), pairs, ["own"], hot, F.col("a")).select("a", F.col("own_b").alias("own"))
-    # the other side may be as hot: its rows are spread in the same way
-    both = salted_join(rows.withColumnRenamed("id", "b"), left, ["own"], hot, F.col("b"))
+    many = rows.count() > HOT_ROWS  # fewer rows have no hot key
+    joined = salted_join(kinds, other, ["seen"], heavy_keys(kinds, "seen", floor=HOT_ROWS), F.col("own")) if many else kinds.join(other, "seen")
+    pairs = joined.where(F.col("own") < F.col("own_b")).select("own", "own_b")
+    one, two = rows.select("own", F.col("id").alias("a")), rows.select("own", F.col("id").alias("b"))
+    if many:
+        hot = cut(heavy_keys(rows, "own", floor=HOT_ROWS))
+        left = salted_join(one, pairs, ["own"], hot, F.col("a")).select("a", F.col("own_b").alias("own"))
+        both = salted_join(two, left, ["own"], hot, F.col("b"))  # the other side may be as hot: its rows are spread in the same way
+    else:
+        both = two.join(one.join(pairs, "own").select("a", F.col("own_b").alias("own")), "own")
     return both.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).where(F.col("a") != F.col("b")).distinct()

@@ -68,7 +68,10 @@ def test_a_third_of_all_texts_equal(spark):
 
 def test_classes(spark):
     df = spark.createDataFrame(DOCS, SCHEMA)
-    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in textforms.forms_classes(df, "doc_id", "text").collect()}
+    found = textforms.forms_classes(df, "doc_id", "text").collect()
+    looks = {r["doc_id"]: (r["look_id"], r["look_size"]) for r in found}
+    assert looks[1] == looks[2] == looks[3] == looks[9] == (1, 4) and looks[4] == (4, 1) and looks[12] == looks[13] == (12, 2)
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in found}
     assert got[1] == got[2] == got[4] == got[9] == (1, 5) and got[11] == (10, 2) and 5 not in got and 7 not in got
 
 
@@ -76,3 +79,24 @@ def test_columns(spark):
     df = spark.createDataFrame([(1, "Ａ", "z"), (2, None, None), (2, "", "z"), (3, "Ａ", "y")], "doc_id long, text string, own string")
     got = textforms.with_forms(df, "text")
     assert rows(got, "doc_id", "own", "comparison", "visible") == sorted([(1, "z", "a", "A"), (2, None, None, None), (2, "z", "", ""), (3, "y", "a", "A")], key=repr)
+
+
+def test_many_spellings_and_copies(spark, monkeypatch):
+    """Hot groups and hot texts are spread over tasks; the pairs stay the same."""
+    letters = {"a": "а", "o": "о", "e": "е", "c": "с", "p": "р"}
+    texts = ["".join(letters[x] if m >> k & 1 else x for k, x in enumerate("aoecp")) for m in range(32)]
+    data = [(i, texts[i % 32] if i % 3 else texts[0]) for i in range(150)] + [(1_000 + i, f"other {i}") for i in range(20)]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = sorted(((a, b) for a, s in data for b, t in data if a < b < 1_000 and s != t), key=repr)
+    assert rows(textforms.lookalike_pairs(df, "doc_id", "text")) == want
+    monkeypatch.setattr(textforms, "HOT_ROWS", 5)
+    assert rows(textforms.lookalike_pairs(df, "doc_id", "text")) == want
+
+
+def test_lookalikes_are_published_ones(spark):
+    """Each look-alike, or its other case, has the same skeleton as its Latin letter in Unicode's table of confusable characters."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    alike = lambda a, b: checker.getSkeleton(0, a) == checker.getSkeleton(0, b)
+    for code, plain in textforms.LOOKALIKES.items():
+        ch = chr(code)
+        assert alike(ch, plain) or alike(ch.lower(), plain.lower()) or alike(ch.upper(), plain), (ch, plain)
