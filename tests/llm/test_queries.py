@@ -9,6 +9,11 @@ def test_same_as_sql(spark, data_dir, name):
     compare(spark, data_dir, queries.QUERIES[name], queries.ORACLE[name])
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_same_as_sql_on_more_rows(spark, larger_dir, name):
+    compare(spark, larger_dir, queries.QUERIES[name], queries.ORACLE[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_runs(spark, data_dir, name):
     assert queries.QUERIES[name](spark, data_dir).count() > 0
