@@ -17,6 +17,8 @@ from lamella.operators.quantiles import exact_percentiles
 
 #: A model is fitted on at most so many rows of its reference corpus; of a larger corpus on those with the smallest hashes of their ids.
 MAX_REFERENCE = 50_000
+#: Distances to the reference that a task holds at once.
+DISTANCES = 1 << 22
 
 
 def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -164,9 +166,16 @@ class ReferenceModel:
         raw = np.sort(self.raw)
         percentile = np.round(np.searchsorted(raw, self.forest.score(z), side="right") / len(raw), 6)
         unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        far = 1 - unit(z) @ unit(self.corpus).T
-        near = np.argsort(np.round(far, 12), 1, kind="stable")[:, : self.k]
-        lists = [[dict(plate_id=self.names[j], cosine_distance=round(max(0.0, float(far[i, j])), 4)) for j in row] for i, row in enumerate(near)]
+        lists: list[list[dict]] = []
+        corpus, rows = unit(self.corpus).T, max(1, DISTANCES // max(1, len(self.corpus)))
+        for a in range(0, len(z), rows):
+            far = np.round(1 - unit(z[a : a + rows]) @ corpus, 12)
+            # the k nearest and all that tie with the last of them; equally near ones in the reference's order
+            edge = np.partition(far, self.k - 1, axis=1)[:, self.k - 1]
+            for own, last in zip(far, edge):
+                close = np.flatnonzero(own <= last)
+                close = close[np.argsort(own[close], kind="stable")][: self.k]
+                lists.append([dict(plate_id=self.names[j], cosine_distance=round(max(0.0, float(own[j])), 4)) for j in close])
         return percentile, lists
 
     def transform(self, df: DataFrame) -> DataFrame:

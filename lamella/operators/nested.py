@@ -157,14 +157,15 @@ class Walk:
 
     def _other(self, value: object) -> None:
         """Number a node and all below it, none of which is of a kind."""
-        n, stack = 0, [value]
+        n, stack = 1, [value]
         while stack:
             value = stack.pop()
-            n += 1
             if isinstance(value, dict):
-                stack.extend(value.values())
-            elif isinstance(value, list):
-                stack.extend(value)
+                value = value.values()
+            elif not isinstance(value, list):
+                continue
+            n += len(value)
+            stack += [v for v in value if isinstance(v, (dict, list))]
         self.pre += n
         self.post += n
 

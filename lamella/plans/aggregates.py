@@ -12,6 +12,7 @@ from lamella.functions import scalars as S
 from lamella.model import reference as M
 from lamella.operators import quantiles, stats, store, vectors
 from lamella.plans.registry import Registry
+from lamella.raster.plates import FEATURES
 from lamella.sources import ledgers
 
 query = Registry()
@@ -233,6 +234,18 @@ def _reference_model(spark: SparkSession, d: str) -> tuple[M.ReferenceModel, Dat
     return M.ReferenceModel.fit(wide.where("label = 0"), "plate_id", columns), wide, columns
 
 
+@query()
+def q64_feature_percentile(spark: SparkSession, d: str) -> DataFrame:
+    """Every plate's percentile of unusualness by its 18 features, and its nearest plates.
+
+    The reference are the latest features of all plates, of more than the model's bound those with the smallest hashes; all plates are scored.
+    """
+    rows = table(spark, d, "features_v0_1", "plate_id", "ingested_at", *FEATURES)
+    latest = latest_rows(rows, "plate_id", "ingested_at", "plate_id", *FEATURES)
+    out = M.ReferenceModel.fit(latest, "plate_id", list(FEATURES), bound=2_000).transform(latest)
+    return out.select("plate_id", "reference_anomaly_percentile", F.concat_ws(",", "nearest_reference_plates.plate_id").alias("nearest"))
+
+
 @query()
 def q62_pca_scores(spark: SparkSession, d: str) -> DataFrame:
     """Share of the variance that each principal component of the reference explains."""

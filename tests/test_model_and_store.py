@@ -170,12 +170,14 @@ def test_percentile_among_many_values(spark, monkeypatch):
     assert all(got[i] == pytest.approx((ref <= v).mean()) for i, v in enumerate(asked))
 
 
-def test_model_is_stored_and_bounded(spark, corpus, tmp_path):
+def test_model_is_stored_and_bounded(spark, corpus, tmp_path, monkeypatch):
     model = M.ReferenceModel.fit(corpus, "plate_id", COLUMNS, trees=40)
     model.save(spark, str(tmp_path / "m"))
     model.save(spark, str(tmp_path / "m"))
     again = M.ReferenceModel.load(spark, str(tmp_path / "m"))
     assert rows(again.transform(corpus)) == rows(model.transform(corpus))
+    monkeypatch.setattr(M, "DISTANCES", 100)  # two rows at a time
+    assert rows(again.transform(corpus)) == rows(model.transform(corpus))
     few = M.ReferenceModel.fit(corpus, "plate_id", COLUMNS, trees=10, bound=25)
     assert len(few.names) == 25 and few.names == M.ReferenceModel.fit(corpus.repartition(7), "plate_id", COLUMNS, trees=10, bound=25).names
     with pytest.raises(ValueError):
