@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.common import checked_broadcast, cut
+from lamella.common import BROADCAST_ROWS, cut
 
 BINS = 4_096
 
@@ -32,11 +32,12 @@ def exact_percentiles(df: DataFrame, by: list[str], value: Column, shares: list[
     state = totals.select("_g", F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
     scale = F.asinh
     while True:
-        state = cut(state)
         open_ = state.where("_lo < _hi")
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             break
-        wide = checked_broadcast(open_.select("_g", "_lo", "_hi").distinct())
+        wide = open_.select("_g", "_lo", "_hi").distinct()
+        wide = F.broadcast(wide) if left <= BROADCAST_ROWS else wide
         lo, hi = scale(F.col("_lo")), scale(F.col("_hi"))
         bin_of = F.least(F.lit(BINS - 1), F.floor((scale(F.col("_v")) - lo) / (hi - lo) * BINS)).cast("int")
         counted = (
@@ -50,7 +51,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: Column, shares: list[
         within = (F.col("_below") + F.col("_upto") > F.col("_rank")) & (F.col("_below") + F.col("_upto") - F.col("_c") <= F.col("_rank"))
         narrower = open_.join(counted, ["_g", "_lo", "_hi"]).where(within)
         narrower = narrower.select("_g", "_rank", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_below"))
-        state = state.where("_lo = _hi").unionByName(narrower)
+        state = cut(state.where("_lo = _hi").unionByName(narrower))
         scale = lambda c: c
     found = state.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_at"))  # two for each share
     out = []
