@@ -65,9 +65,13 @@ def hue_distance(a: Column, b: Column, length: float = 180.0) -> Column:
 def circle_iou(x1: Column, y1: Column, r1: Column, x2: Column, y2: Column, r2: Column) -> Column:
     """Intersection over union of two circles; 0 if they are apart, the ratio of areas if one lies within the other."""
     d = F.hypot(x1 - x2, y1 - y2)
+    return iou_of_shared(circle_shared(d, r1, r2), d, r1, r2)
+
+
+def circle_shared(d: Column, r1: Column, r2: Column) -> Column:
+    """The area that two circles share whose centres are ``d`` apart, if they meet."""
     small, large = F.least(r1, r2), F.greatest(r1, r2)
     within = F.pi() * small * small
-    both = F.pi() * (r1 * r1 + r2 * r2)
 
     def half_angle(r: Column, other: Column) -> Column:
         return F.acos(clip((d * d + r * r - other * other) / F.greatest(2 * d * r, F.lit(1e-300)), -1.0, 1.0))
@@ -75,7 +79,12 @@ def circle_iou(x1: Column, y1: Column, r1: Column, x2: Column, y2: Column, r2: C
     a, b = half_angle(r1, r2), half_angle(r2, r1)
     kite = F.sqrt(F.greatest(F.lit(0.0), (r1 + r2 - d) * (d + r1 - r2) * (d - r1 + r2) * (d + r1 + r2))) / 2
     lens = r1 * r1 * a + r2 * r2 * b - kite
-    shared = F.when(d <= large - small, within).otherwise(lens)
+    return F.when(d <= large - small, within).otherwise(lens)
+
+
+def iou_of_shared(shared: Column, d: Column, r1: Column, r2: Column) -> Column:
+    """Intersection over union of two circles by the area that they share; 0 if they are apart."""
+    both = F.pi() * (r1 * r1 + r2 * r2)
     return F.when(d >= r1 + r2, F.lit(0.0)).otherwise(shared / F.greatest(both - shared, F.lit(1e-9)))
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lamella.functions import scalars as S
 from lamella.raster import shapes
 
+#: Ids of circles of one place and size that are kept in one list, and lists of a grid cell that are compared by one key of the join.
+SAME_CIRCLES = 64
+CELL_ROWS = 2_000
+
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Of the rows sharing ``keys`` the last by ``order``, nulls first; of rows that tie in it the greatest by all columns. Combined before the shuffle."""
@@ -65,20 +69,42 @@ def pair_names(df: DataFrame, exam: Column, partition: list[str], order: list[st
     return df.withColumn("bilateral_pair_id", F.format_string("%s-BP-%03d", exam, number))
 
 
-def overlapping_circles(df: DataFrame, group: str) -> DataFrame:
+def overlapping_circles(df: DataFrame, group: str, digits: int | None = None) -> DataFrame:
     """Pairs of circles (``id``, ``x``, ``y``, ``r``) of a group that overlap: ``id_a``, ``id_b`` (the smaller first) and ``iou``.
 
-    Only circles in neighbouring cells of a grid as wide as the group's largest circle meet; its size is taken from the data.
+    Only circles in neighbouring cells of a grid as wide as the group's largest circle meet; its size is taken from the data. Circles
+    of one place and size meet the others together, in lists of at most ``SAME_CIRCLES`` ids, so an overlap is computed once for all of
+    them; pairs too far apart are left out before. The circles of a cell are divided into blocks of about ``CELL_ROWS`` lists, so
+    a full cell is many keys of the join. The result is as long as there are overlapping pairs, quadratic in the circles of a crowded image.
+    With ``digits`` an ``iou`` is rounded, and left out if it becomes 0.
     """
+    spark = df.sparkSession
+    place = [group, "x", "y", "r"]
+    ordinal = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
+    lists = df.select(group, "id", "x", "y", "r").where("id is not null").withColumn("_list", F.floor((ordinal - 1) / SAME_CIRCLES))
+    lists = lists.groupBy(*place, "_list").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     widest = df.groupBy(group).agg(F.greatest(2 * F.max("r"), F.lit(1e-9)).alias("_cell"))
-    a = df.select(group, "id", "x", "y", "r").join(widest, group)
-    a = a.select(group, "id", "x", "y", "r", *[F.floor(F.col(c) / F.col("_cell")).alias(f"_{c}") for c in ("x", "y")])
+    cells = lists.join(widest, group).select(*place, "ids", *[F.floor(F.col(c) / F.col("_cell")).alias(f"_{c}") for c in ("x", "y")])
+    blocks = cells.groupBy(group, "_x", "_y").agg(F.ceil(F.count("*") / CELL_ROWS).alias("_blocks"))
+    a = cells.join(blocks, [group, "_x", "_y"]).withColumn("_block", F.pmod(F.xxhash64("x", "y", "r", "ids"), "_blocks")).drop("_blocks")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.select(group, *[F.col(n).alias(n + "_b") for n in ("id", "x", "y", "r")], "_x", "_y", F.explode(around).alias("_o"))
-    b = b.select(group, "id_b", "x_b", "y_b", "r_b", (F.col("_x") + F.col("_o.i")).alias("_x"), (F.col("_y") + F.col("_o.j")).alias("_y"))
-    met = a.join(b, [group, "_x", "_y"]).where(F.col("id") < F.col("id_b"))
-    iou = S.circle_iou(*[F.col(n) for n in ("x", "y", "r", "x_b", "y_b", "r_b")])
-    return met.select(group, F.col("id").alias("id_a"), "id_b", iou.alias("iou")).where("iou > 0")
+    b = cells.select(group, *[F.col(n).alias(n + "_b") for n in ("ids", "x", "y", "r")], "_x", "_y", F.explode(around).alias("_o"))
+    b = b.withColumns({"_x": F.col("_x") + F.col("_o.i"), "_y": F.col("_y") + F.col("_o.j")}).drop("_o").join(blocks, [group, "_x", "_y"])
+    b = b.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    # the work follows the pairs, not the bytes: a fixed number of tasks, and no broadcast
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keys = [group, "_x", "_y", "_block"]
+    met = a.repartition(tasks, *keys).hint("merge").join(b.repartition(tasks, *keys), keys)
+    dx, dy, reach = F.col("x") - F.col("x_b"), F.col("y") - F.col("y_b"), F.col("r") + F.col("r_b")
+    met = met.where((F.get("ids", F.lit(0)) < F.element_at("ids_b", -1)) & (dx * dx + dy * dy <= reach * reach * (1 + 1e-9)))
+    # columns of their own, and the last one exploded, so that nothing is computed twice
+    met = met.select(group, "ids", "ids_b", "r", "r_b", F.hypot(dx, dy).alias("_d"))
+    met = met.withColumn("_shared", S.circle_shared(F.col("_d"), F.col("r"), F.col("r_b")))
+    iou = S.iou_of_shared(*[F.col(n) for n in ("_shared", "_d", "r", "r_b")])
+    iou = iou if digits is None else F.round(iou, digits)
+    over = met.select(group, "ids", "ids_b", F.explode(F.array(iou)).alias("iou")).where("iou > 0")
+    pairs = over.select(group, F.explode("ids").alias("id_a"), "ids_b", "iou").select(group, "id_a", F.explode("ids_b").alias("id_b"), "iou")
+    return pairs.where("id_a < id_b")
 
 
 def greedy_circles(df: DataFrame, group: list[str], limit: float = 0.35) -> DataFrame:

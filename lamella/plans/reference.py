@@ -184,8 +184,7 @@ def _iou_sql(a: str, b: str) -> str:
 )
 def q06_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping circles of an image."""
-    pairs = pairing.overlapping_circles(_circles(spark, d), "brand")
-    return pairs.select("id_a", "id_b", F.round("iou", 6).alias("iou")).where("iou > 0")
+    return pairing.overlapping_circles(_circles(spark, d), "brand", digits=6).select("id_a", "id_b", "iou")
 
 
 @query(

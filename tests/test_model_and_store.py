@@ -204,6 +204,32 @@ def test_overlaps_of_wide_circles(spark):
     assert rows(pairing.greedy_circles(df, ["g"])) == sorted(kept, key=repr)
 
 
+def test_overlaps_of_circles_in_one_place(spark, monkeypatch):
+    """Lists of equal circles and divided cells give each pair once, whatever is repeated or null."""
+    monkeypatch.setattr(pairing, "SAME_CIRCLES", 3)
+    monkeypatch.setattr(pairing, "CELL_ROWS", 4)
+    rng = np.random.default_rng(5)
+    data = [(g, i, float(i * 7 % 5), float(i * 3 % 4), float(rng.integers(0, 4))) for i, g in enumerate("a" * 70 + "b" * 9)]
+    data += [("a", 7, 1.0, 1.0, 2.0), ("a", 200, None, 1.0, 2.0), ("a", None, 1.0, 1.0, 2.0), (None, 201, 1.0, 1.0, 2.0), (None, 202, 1.0, 1.0, 2.0)]
+    df = spark.createDataFrame(data, "g string, id long, x double, y double, r double")
+    whole = [c for c in data if None not in c]
+    over = [(a[0], a[1], b[1], shapes.circle_overlap(*a[2:5], *b[2:5])) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1]]
+    got = rows(pairing.overlapping_circles(df, "g"), "g", "id_a", "id_b", "iou")
+    want = sorted((p for p in over if p[3] > 0), key=repr)
+    assert [p[:3] for p in got] == [p[:3] for p in want] and np.allclose([p[3] for p in got], [p[3] for p in want], atol=1e-12)
+    few = rows(pairing.overlapping_circles(df, "g", digits=0), "g", "id_a", "id_b", "iou")
+    assert few == sorted(((*p[:3], round(p[3], 0)) for p in want if round(p[3], 0) > 0), key=repr) and len(few) < len(want)
+
+
+def test_work_on_overlaps_is_spread(spark):
+    """A small table has many pairs: they are compared in many tasks, and an overlap is computed once only."""
+    circles = [F.col("id") % 37.0, F.col("id") % 41.0, F.col("id") % 5 + 1.0]
+    df = spark.range(0, 300, 1, 1).select((F.col("id") % 2).alias("g"), "id", *[c.alias(n) for c, n in zip(circles, "xyr")])
+    pairs = pairing.overlapping_circles(df, "g")
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("ACOS") == 2  # two angles
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 2
+
+
 def test_last_wins_and_current_tell_ties_apart(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", None, None)], "k string, at int, v string")
     assert rows(pairing.last_wins(df, ["k"], ["at"])) == [("a", 1, "y"), ("b", None, "z")]
