@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lamella.llm import leakage
+from lamella.llm import leakage, queries
 from tests.conftest import rows
 
 
@@ -268,6 +268,19 @@ def test_paraphrases(spark):
     assert rows(leakage.leaks(df, it, "doc_id", "item_id", "text")) == [(1, 1), (4, 1)]
 
 
+def test_queries_check_answers(spark, tmp_path):
+    """The queries go through all steps: p8_items counts paraphrases, p8_found lists only what is held."""
+    item = "why does the amber halo of torvim widen after 3884 slow ticks beside the wet gauze"
+    told = "so why would the amber halo of torvim then widen when 3884 ticks of wet gauze pass"
+    docs = [(1, item), (2, told), (3, told.replace("3884", "99")), (4, f"{told} {item}"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, item), (2, "unrelated words"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert rows(queries.p8_items(spark, str(tmp_path))) == [(1, 2, 1), (2, 0, 0), (3, 0, 0)]
+    found = queries.p8_found(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "item_id"] and rows(found) == [(1, 1), (4, 1)]
+
+
 def test_groups_of_words(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MAX_WORDS", 60)
     monkeypatch.setattr(leakage, "PIECE_WORDS", 16)
